@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,23 @@ def local_session(app: str = "tideglass", cores: str = "*", partitions: int = 8,
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the workers, unless it lies on the path that they inherit or was sent before."""
+    home = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if str(home.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tideglass_sent", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="tideglass-")) / "tideglass_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(path))
+    sc._tideglass_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The whole table; columns and filters are pushed down by Catalyst."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
