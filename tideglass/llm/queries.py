@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideglass.llm.leaks import find_leaks
 from tideglass.llm.nearest import nearest_in_time
 from tideglass.llm.packing import pack
+from tideglass.llm.pii import find_personal, redact
 from tideglass.plans.registry import Registry
 from tideglass.session import broadcast_if_small, table
 
@@ -64,3 +65,14 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the number of documents and their largest share."""
     got = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "text", "item_id", "text")
     return got.groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.max("share"), 6).alias("largest_share"))
+
+
+@R.add()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+@R.add()
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with typed placeholders."""
+    return redact(table(spark, d, "documents"), "doc_id", "text")
