@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("problems",)
+GROUPS = ("problems", "bars")
 
 
 def registries() -> list:
