@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("problems", "bars")
+GROUPS = ("problems", "bars", "vol")
 
 
 def registries() -> list:
