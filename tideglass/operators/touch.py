@@ -6,11 +6,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions import vectors as V
 from tideglass.functions.num import clip, log_ndtr, ndtr
-from tideglass.operators.vol import HOURS_PER_YEAR, features, forward_extremes
+from tideglass.operators.vol import features, forward_extremes
 
 # Fixed value: the discrete-monitoring shift of Broadie, Glasserman and Kou.
 BGK = 0.5826
@@ -31,15 +33,29 @@ class TouchConfig:
     nodes: int = 15
 
 
-def touch_probability(s0: Column, k: Column, sigma: Column, t: Column, sign: Column | None = None, mu: float = 0.0, monitor_dt: float = 0.0) -> Column:
-    """Probability that the price touches k within t years; sign 1 for a barrier above, -1 below, by its place if absent."""
-    sg = sign if sign is not None else F.when(k >= s0, 1.0).otherwise(-1.0)
-    gap = sg * F.log(k / s0)
-    b = gap + BGK * sigma * math.sqrt(monitor_dt)
-    nu = sg * (F.lit(mu) - sigma * sigma / 2)
-    root = sigma * F.sqrt(t)
-    hit = ndtr((nu * t - b) / root) + F.exp(2 * nu * b / (sigma * sigma) + log_ndtr((-b - nu * t) / root))
-    return F.when(gap <= 0, 1.0).when(t <= 0, 0.0).otherwise(clip(hit, 0, 1))
+def with_touch(df: DataFrame, sigmas: dict[str, Column], monitor_dt: float = 0.0, mu: float = 0.0) -> DataFrame:
+    """df (s0, k, t, direction) with, for each name, the probability that the price touches k within t years.
+
+    Direction 1 is a barrier above, -1 below. What the normal integral is taken of is a column of its own first: an
+    expression that repeats its argument some twenty times would outgrow a generated method.
+    """
+    sg = F.col("direction").cast("double")
+    cols = df.columns
+    out = df.withColumn("_gap", sg * F.log(F.col("k") / F.col("s0")))
+    out = out.withColumns({f"_s_{n}": s for n, s in sigmas.items()})
+    stage = {}
+    for n in sigmas:
+        sigma = F.col(f"_s_{n}")
+        b = F.col("_gap") + BGK * sigma * math.sqrt(monitor_dt)
+        nu = sg * (F.lit(mu) - sigma * sigma / 2)
+        root = sigma * F.sqrt("t")
+        stage |= {f"_a_{n}": (nu * F.col("t") - b) / root, f"_b_{n}": (-b - nu * F.col("t")) / root, f"_e_{n}": 2 * nu * b / (sigma * sigma)}
+    out = out.withColumns(stage)
+    out = out.withColumns({f"_l_{n}": log_ndtr(F.col(f"_b_{n}")) for n in sigmas})
+    hit = {n: ndtr(F.col(f"_a_{n}")) + F.exp(F.col(f"_e_{n}") + F.col(f"_l_{n}")) for n in sigmas}
+    out = out.withColumns({f"_h_{n}": h for n, h in hit.items()})
+    price = {n: F.when(F.col("_gap") <= 0, 1.0).when(F.col("t") <= 0, 0.0).otherwise(clip(F.col(f"_h_{n}"), 0, 1)) for n in sigmas}
+    return out.select(*cols, *[p.alias(n) for n, p in price.items()])
 
 
 def terminal_probability(s0: Column, k: Column, sigma: Column, t: Column, mu: float = 0.0) -> Column:
@@ -47,12 +63,6 @@ def terminal_probability(s0: Column, k: Column, sigma: Column, t: Column, mu: fl
     return ndtr((F.log(s0 / k) + (F.lit(mu) - sigma * sigma / 2) * t) / (sigma * F.sqrt(t)))
 
 
-def naive_double(s0: Column, k: Column, sigma: Column, t: Column, sign: Column) -> Column:
-    """Twice the probability of ending beyond the barrier, at most 1."""
-    above = terminal_probability(s0, k, sigma, t)
-    return F.least(2 * F.when(sign > 0, above).otherwise(1 - above), F.lit(1.0))
-
-
 def first_exit_upper(s0: Column, lower: Column, upper: Column, sigma: Column, mu: float = 0.0) -> Column:
     """Probability of reaching the upper barrier before the lower one."""
     nu = F.lit(mu) - sigma * sigma / 2
@@ -82,10 +92,11 @@ def universe(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
 
 def closed_forms(u: DataFrame) -> DataFrame:
     """The models that need no fit."""
-    s0, k, t, sg = F.col("s0"), F.col("k"), F.col("t"), F.col("direction").cast("double")
-    daily = lambda c: F.sqrt(F.greatest(F.col(c), F.lit(SMALL)) * 365)
-    p = lambda sigma: touch_probability(s0, k, sigma, t, sg)
-    return u.select("*", naive_double(s0, k, F.col("sigma_ref"), t, sg).alias("naive_2x"), p(F.col("sigma_ref")).alias("gbm_trailing30"), p(daily("rv7")).alias("gbm_rv7"), p(F.greatest("ewma_vol", F.lit(SMALL))).alias("gbm_ewma"))
+    daily = F.sqrt(F.greatest(F.col("rv7"), F.lit(SMALL)) * 365)
+    out = with_touch(u, {"gbm_trailing30": F.col("sigma_ref"), "gbm_rv7": daily, "gbm_ewma": F.greatest("ewma_vol", F.lit(SMALL))})
+    d = out.withColumn("_d", (F.log(F.col("s0") / F.col("k")) - F.col("sigma_ref") ** 2 / 2 * F.col("t")) / (F.col("sigma_ref") * F.sqrt("t")))
+    d = d.withColumn("_p", ndtr(F.col("_d")))
+    return d.withColumn("naive_2x", F.least(2 * F.when(F.col("direction") > 0, F.col("_p")).otherwise(1 - F.col("_p")), F.lit(1.0))).drop("_d", "_p")
 
 
 def base_rates(u: DataFrame, cutoff: int) -> DataFrame:
@@ -101,7 +112,8 @@ def har_rows(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
     by = Window.partitionBy("asset").orderBy("h")
     left = F.row_number().over(Window.partitionBy("asset").orderBy(F.desc("h")))
     f = f.withColumn("_left", left)
-    targets = F.array(*[F.struct(F.lit(d).alias("horizon_d"), F.when(F.col("_left") >= 24 * d, F.sum("rv").over(by.rowsBetween(0, 24 * d - 1)) / d).alias("v")) for d in cfg.horizons_d])
+    f = f.withColumns({f"_v{d}": F.when(F.col("_left") >= 24 * d, F.sum("rv").over(by.rowsBetween(0, 24 * d - 1)) / d) for d in cfg.horizons_d})
+    targets = F.array(*[F.struct(F.lit(d).alias("horizon_d"), F.col(f"_v{d}").alias("v")) for d in cfg.horizons_d])
     f = f.where("rvl is not null").withColumn("y", F.explode(targets)).where("y.v is not null")
     log = lambda c: F.log(F.greatest(c, F.lit(SMALL)))
     return f.select("asset", "h", "y.horizon_d", *[log(F.col(c)).alias(f"x{i}") for i, c in enumerate(("rv1", "rv7", "rvl"), 1)], log(F.col("y.v")).alias("target"), (F.col("h") + 24 * F.col("y.horizon_d")).alias("resolve"))
@@ -127,21 +139,26 @@ def fit_har(rows: DataFrame, keys: list[str]) -> DataFrame:
                 c = np.linalg.lstsq(a, b, rcond=None)[0]
                 sse = max(r.yy - 2 * c @ b + c @ a @ c, 0.0)
                 out.append([*[getattr(r, k) for k in keys], *c, math.sqrt(sse / max(a[0, 0], 1)), int(a[0, 0])])
-            import pandas as pd
-
             yield pd.DataFrame(out, columns=[*keys, "c0", "c1", "c2", "c3", "spread", "n"])
 
     return total.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", c0 double, c1 double, c2 double, c3 double, spread double, n long")
 
 
-def mixture(s0: Column, k: Column, t: Column, sign: Column, log_median: Column, spread: Column, nodes: int = 15) -> Column:
-    """The closed form averaged over a log-normal variance by Gauss-Hermite nodes."""
+def mixture(nodes: int = 15):
+    """Vectorised UDF of (s0, k, t, direction, log median of the daily variance, its spread): the closed form averaged
+    over a log-normal variance by Gauss-Hermite nodes."""
     x, w = np.polynomial.hermite_e.hermegauss(nodes)
     w = w / w.sum()
-    out = F.lit(0.0)
-    for xi, wi in zip(x.tolist(), w.tolist()):
-        out = out + wi * touch_probability(s0, k, F.sqrt(F.exp(log_median + spread * xi) * 365), t, sign)
-    return out
+
+    @F.pandas_udf("double")
+    def mixed(s0: pd.Series, k: pd.Series, t: pd.Series, sign: pd.Series, med: pd.Series, spread: pd.Series) -> pd.Series:
+        a = [c.to_numpy(float) for c in (s0, k, t, sign, med, spread)]
+        out = np.zeros(len(a[0]))
+        for xi, wi in zip(x, w):
+            out += wi * V.touch(a[0], a[1], np.sqrt(np.exp(a[4] + a[5] * xi) * 365), a[2], a[3])
+        return pd.Series(out)
+
+    return mixed
 
 
 def walk_forward(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
@@ -164,9 +181,8 @@ def walk_forward(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
     med = F.col("c0") + F.col("c1") * log("rv1") + F.col("c2") * log("rv7") + F.col("c3") * log("rvl")
     out = out.withColumn("log_median", med)
     s0, k, t, sg = F.col("s0"), F.col("k"), F.col("t"), F.col("direction").cast("double")
-    plain = touch_probability(s0, k, F.sqrt(F.exp(F.col("log_median") + F.col("spread") ** 2 / 2) * 365), t, sg)
-    return out.select("asset", "anchor", "horizon_d", "z", "direction", "label", "fold", "week", "naive_2x", "gbm_trailing30", "gbm_rv7", "gbm_ewma", plain.alias("gbm_har"), mixture(s0, k, t, sg, F.col("log_median"), F.col("spread"), cfg.nodes).alias("har_mix"), "base_rate")
+    out = with_touch(out, {"gbm_har": F.sqrt(F.exp(F.col("log_median") + F.col("spread") ** 2 / 2) * 365)})
+    return out.select("asset", "anchor", "horizon_d", "z", "direction", "label", "fold", "week", "naive_2x", "gbm_trailing30", "gbm_rv7", "gbm_ewma", "gbm_har", mixture(cfg.nodes)(s0, k, t, sg, F.col("log_median"), F.col("spread")).alias("har_mix"), "base_rate")
 
 
 MODELS = ("naive_2x", "gbm_trailing30", "gbm_rv7", "gbm_ewma", "gbm_har", "har_mix", "base_rate")
-__all__ = ["HOURS_PER_YEAR", "MODELS", "TouchConfig", "walk_forward"]

@@ -80,7 +80,7 @@ def features(grid: DataFrame, window_h: int = 720, half_life_d: float = 5.0, mem
     s1, s2 = before("r", w), before("r2", w)
     return d.withColumn("live", F.col("traded").cast("double")).select(
         "asset", "h", "close", "high", "low", "rv", "r",
-        F.sqrt(F.greatest((s2 - s1 * s1 / w) / (w - 1), F.lit(0.0)) * HOURS_PER_YEAR).alias("vol"),
+        F.when(s1.isNotNull(), F.sqrt(F.greatest((s2 - s1 * s1 / w) / (w - 1), F.lit(0.0)) * HOURS_PER_YEAR)).alias("vol"),
         before("rv", 24).alias("rv1"), (before("rv", 168) / 7).alias("rv7"), (before("rv", w) / (w / 24)).alias("rvl"),
         F.sqrt(F.lag("ew").over(by) * HOURS_PER_YEAR).alias("ewma_vol"), F.lag("al").over(by).alias("alpha"), F.lag("be").over(by).alias("beta"),
         (before("live", w) / w).alias("coverage"), F.lag("close").over(by).alias("s0"),
