@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("problems", "bars", "vol")
+GROUPS = ("problems", "bars", "vol", "pairs", "forecasts", "quotes")
 
 
 def registries() -> list:
