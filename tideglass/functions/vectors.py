@@ -54,17 +54,19 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     lg = np.vectorize(math.lgamma, otypes=[float])(a)
     xs = np.maximum(x, 1e-300)
-    front = np.exp(a * np.log(xs) - xs - lg)
+    front = np.exp(np.maximum(a * np.log(xs) - xs - lg, -745.0))
+    near = np.minimum(x, a + 1)
     term, total = 1 / a, 1 / a
-    for n in range(1, 400):
-        term = term * x / (a + n)
+    for n in range(1, 2000):
+        term = term * near / (a + n)
         total = total + term
         if np.all(np.abs(term) < 1e-16 * np.abs(total)):
             break
-    b = xs + 1 - a
+    far = np.maximum(xs, a + 1)
+    b = far + 1 - a
     c, d = np.full_like(xs, 1e300), 1 / np.where(np.abs(b) < 1e-300, 1e-300, b)
     h = d
-    for n in range(1, 400):
+    for n in range(1, 2000):
         an = -n * (n - a)
         b = b + 2
         d = an * d + b

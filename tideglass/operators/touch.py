@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tideglass.functions import vectors as V
 from tideglass.functions.num import clip, log_ndtr, ndtr
@@ -150,7 +151,7 @@ def mixture(nodes: int = 15):
     x, w = np.polynomial.hermite_e.hermegauss(nodes)
     w = w / w.sum()
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def mixed(s0: pd.Series, k: pd.Series, t: pd.Series, sign: pd.Series, med: pd.Series, spread: pd.Series) -> pd.Series:
         a = [c.to_numpy(float) for c in (s0, k, t, sign, med, spread)]
         out = np.zeros(len(a[0]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("problems", "bars", "vol", "pairs", "forecasts", "quotes", "texts")
+GROUPS = ("problems", "bars", "vol", "pairs", "forecasts", "quotes", "texts", "studies")
 
 
 def registries() -> list:
