@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.operators.ordered import running_sum
+from tideglass.operators.ordered import last_known, running_sum
 
 DAY = 86400
 
@@ -49,7 +49,7 @@ def dollar_bars(ticks: DataFrame, target: int) -> DataFrame:
     total = rows.groupBy("asset").agg(F.sum("value").cast("decimal(28,6)").alias("total"))
     cum = running_sum(rows, "asset", ["ts", "id"], day_of(), {"cum": F.col("value")}).join(F.broadcast(total), "asset")
     # assets are few by nature: one row each
-    bucket = F.floor((F.col("cum").cast("decimal(28,6)") * F.lit(target)).cast("decimal(38,6)") / F.col("total"))
+    bucket = F.floor(F.try_divide((F.col("cum").cast("decimal(28,6)") * F.lit(target)).cast("decimal(38,6)"), F.col("total")))
     at = F.struct("ts", "id")
     return cum.groupBy("asset", bucket.cast("long").alias("bucket")).agg(
         F.max("ts").alias("bar"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
@@ -79,8 +79,7 @@ def bar_gaps(bars: DataFrame, ts: str = "bar") -> DataFrame:
 
 def run_lengths(ticks: DataFrame) -> DataFrame:
     """Lengths of runs of equal prices per asset: how many runs of each length."""
-    lagged = ticks.withColumn("_d", day_of())
-    by = Window.partitionBy("asset").orderBy("ts", "id")
-    rows = lagged.withColumn("new", F.coalesce((F.col("price") != F.lag("price").over(by)).cast("int"), F.lit(1)))
+    rows = last_known(ticks.where("price is not null"), "asset", ["ts", "id"], day_of(), {"_before": F.col("price")}, strict=True)
+    rows = rows.withColumn("new", F.coalesce((F.col("price") != F.col("_before")).cast("int"), F.lit(1)))
     runs = running_sum(rows, "asset", ["ts", "id"], day_of(), {"run": F.col("new").cast("long")})
     return runs.groupBy("asset", "run").agg(F.count(F.lit(1)).alias("length")).groupBy("asset", "length").agg(F.count(F.lit(1)).alias("runs"))

@@ -49,7 +49,7 @@ def with_touch(df: DataFrame, sigmas: dict[str, Column], monitor_dt: float = 0.0
         sigma = F.col(f"_s_{n}")
         b = F.col("_gap") + BGK * sigma * math.sqrt(monitor_dt)
         nu = sg * (F.lit(mu) - sigma * sigma / 2)
-        root = sigma * F.sqrt("t")
+        root = sigma * F.sqrt(F.greatest("t", F.lit(SMALL)))
         stage |= {f"_a_{n}": (nu * F.col("t") - b) / root, f"_b_{n}": (-b - nu * F.col("t")) / root, f"_e_{n}": 2 * nu * b / (sigma * sigma)}
     out = out.withColumns(stage)
     out = out.withColumns({f"_l_{n}": log_ndtr(F.col(f"_b_{n}")) for n in sigmas})

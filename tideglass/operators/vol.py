@@ -103,16 +103,16 @@ def close_to_close(r: Column, ppy: float) -> Column:
 
 
 def parkinson(ppy: float) -> Column:
-    return F.sqrt(F.avg(F.pow(F.log(F.col("high") / F.col("low")), 2)) / (4 * LN2) * ppy)
+    return F.sqrt(F.avg(F.pow(F.log(F.try_divide("high", "low")), 2)) / (4 * LN2) * ppy)
 
 
 def garman_klass(ppy: float) -> Column:
-    return F.sqrt(F.greatest(F.avg(0.5 * F.pow(F.log(F.col("high") / F.col("low")), 2) - (2 * LN2 - 1) * F.pow(F.log(F.col("close") / F.col("open")), 2)), F.lit(0.0)) * ppy)
+    return F.sqrt(F.greatest(F.avg(0.5 * F.pow(F.log(F.try_divide("high", "low")), 2) - (2 * LN2 - 1) * F.pow(F.log(F.try_divide("close", "open")), 2)), F.lit(0.0)) * ppy)
 
 
 def rogers_satchell(ppy: float) -> Column:
     h, low, c, o = (F.col(x) for x in ("high", "low", "close", "open"))
-    return F.sqrt(F.greatest(F.avg(F.log(h / c) * F.log(h / o) + F.log(low / c) * F.log(low / o)), F.lit(0.0)) * ppy)
+    return F.sqrt(F.greatest(F.avg(F.log(F.try_divide(h, c)) * F.log(F.try_divide(h, o)) + F.log(F.try_divide(low, c)) * F.log(F.try_divide(low, o))), F.lit(0.0)) * ppy)
 
 
 def realised(bars: DataFrame) -> DataFrame:

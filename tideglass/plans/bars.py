@@ -41,8 +41,7 @@ def bars_resample_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.add(
-    f"""{_T}, m as (select *, (price::decimal(18,4) * volume::decimal(18,4))::decimal(28,6) as value from v), c as (select *, sum(value) over (partition by asset order by ts, id) as cum, sum(value) over (partition by asset) as total from m),
-    b as (select *, floor(cum * 100 / total)::bigint as bucket0, (cum::decimal(28,6) * 100 // 1) as x from c)
+    f"""{_T}, m as (select *, (price::decimal(18,4) * volume::decimal(18,4))::decimal(28,6) as value from v), c as (select *, sum(value) over (partition by asset order by ts, id) as cum, sum(value) over (partition by asset) as total from m)
     select asset, bucket, epoch_us(max(ts)) as bar_us, arg_min(price, (ts, id)) as open, max(price) as high, min(price) as low, arg_max(price, (ts, id)) as close, round(sum(volume), 6) as volume, round(sum(value)::double, 4) as dollar_volume, count(*) as n_ticks
     from (select *, ((cum * 1000000)::hugeint * 100 // (total * 1000000)::hugeint)::bigint as bucket from c) group by 1, 2"""
 )
