@@ -12,9 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions.arrow import whole_groups
 from tideglass.session import broadcast_if_small
 
 REASONS = ("range", "spike", "stuck")
@@ -196,7 +198,7 @@ def _flag_table(t: pa.Table, fields: int, cfg: SpikeConfig) -> pa.Table:
     """Flagged core readings of whole blocks; t is sorted by (src, block, ts, id)."""
     src, block = t["src"].combine_chunks(), t["block"].to_numpy()
     ids = t["id"].to_numpy()
-    edge = np.concatenate([[True], pa.compute.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])])
+    edge = np.concatenate([[True], pc.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False) | (block[1:] != block[:-1])])
     again = ~edge & np.concatenate([[False], ids[1:] == ids[:-1]])
     group = np.cumsum(edge) - 1
     core = t["core"].to_numpy()
@@ -228,30 +230,6 @@ def _flag_table(t: pa.Table, fields: int, cfg: SpikeConfig) -> pa.Table:
     return pa.table({"id": ids[row], "src": src.take(pa.array(row)), "field": field.astype(np.int32), "reason": reason.astype(np.int32), "value": value, "level": null(level[mine]), "score": null(score[mine])})
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
-    """Tables of at least that many rows that end where a group of keys ends; the input is sorted by keys."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        n += b.num_rows
-        if n < rows:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        other = np.zeros(t.num_rows, bool)
-        for k in keys:
-            c = t[k].combine_chunks()
-            other |= pa.compute.not_equal(c, c[t.num_rows - 1]).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
-        if cut:
-            yield t.slice(0, cut)
-        held, n = t.slice(cut).to_batches(), t.num_rows - cut
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def flag_implausible(df: DataFrame, id_col: str, source_col: str, ts_col: str, fields: list[str], cfg: SpikeConfig = SpikeConfig()) -> DataFrame:
     """One row per implausible reading: id, source, field, reason ('range', 'spike', 'stuck'), value, level, score.
 

@@ -167,7 +167,7 @@ def walk_forward(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
 
     Parameters of all folds are fitted in one aggregation each: a training row joins the folds that start after it.
     """
-    u = closed_forms(universe(grid, cfg))
+    u = closed_forms(universe(grid, cfg)).persist()  # read four times below; a lost part is computed again
     folds = u.select("fold").distinct().withColumn("cutoff", F.col("fold") * cfg.fold_h)
     # folds are a handful of calendar periods
     folds = F.broadcast(folds)
