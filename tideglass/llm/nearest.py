@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideglass.operators.spikes import whole_groups
+from tideglass.functions.arrow import whole_groups
 
 
 class LearnedIndex:
@@ -61,7 +62,7 @@ class LearnedIndex:
 def _match(t: pa.Table, tolerance: int, width: int) -> pa.RecordBatch:
     """Matches in whole shards; t is sorted by (e, shard, side, us, id), side 0 the records searched in."""
     e, shard, side, us, ids = t["e"].combine_chunks(), t["shard"].to_numpy(), t["side"].to_numpy(), t["us"].to_numpy(), t["id"].to_numpy()
-    edge = np.concatenate([[True], pa.compute.not_equal(e[1:], e[:-1]).to_numpy(zero_copy_only=False) | (shard[1:] != shard[:-1])])
+    edge = np.concatenate([[True], pc.not_equal(e[1:], e[:-1]).to_numpy(zero_copy_only=False) | (shard[1:] != shard[:-1])])
     group = np.cumsum(edge) - 1
     key = group * (width + 2 * tolerance + 2) + (us - shard * width + tolerance)
     same = np.concatenate([[False], (key[1:] == key[:-1]) & (side[1:] == side[:-1])])
