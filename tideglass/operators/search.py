@@ -67,6 +67,13 @@ def _keep(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``rows`` rows, so that what is scored against all queries stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query_text: str, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query, doc, score, rank: the best k documents per query with a score above 0; repeated query words count each time."""
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(text).cast("string").alias("t"))
@@ -83,7 +90,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             vocab, weight, mean, ids = held.value
-            for batch in batches:
+            for batch in slices(batches, max(1, 2_000_000 // max(len(vocab), len(ids), 1))):
                 tf = np.zeros((batch.num_rows, len(vocab)))
                 for i, t in enumerate(batch["t"].to_pylist()):
                     words = TOKEN.findall(t.lower())
@@ -119,7 +126,7 @@ def cosine(vectors: DataFrame, queries: DataFrame, doc_id: str, vector: str, que
             if not len(ids):
                 return
             q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
+            for batch in slices(batches, max(1, 4_000_000 // len(ids))):
                 flat = batch["v"].flatten().to_numpy(zero_copy_only=False)
                 v = flat.reshape(batch.num_rows, -1)
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)

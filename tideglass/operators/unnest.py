@@ -91,7 +91,7 @@ def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
 def to_triples(df: DataFrame, id_col: str, text_col: str, cfg: NestConfig = NestConfig(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """The triples of all records. keep: only groups whose last repeated ancestor has one of these names.
 
-    Null ids and null, broken, incomplete or empty texts give none; text that is JSON within a JSON string is taken
+    Null ids and null, broken, incomplete or empty texts give none, nor does one nested deeper than the JSON reader goes; text that is JSON within a JSON string is taken
     apart too (also whole records). A repeated record gives its triples again; pivots and references count them once.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))

@@ -88,12 +88,17 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.select("market_id", "title", "barrier", "resolution_rule", F.unix_micros("close_time").alias("close_us"), "resolved_yes")
 
 
-@R.add("with a as (select distinct snapshot_id, market_id, ts from market_snapshot) select market_id, epoch_us(ts) as us, min(snapshot_id) as snapshot_id from a group by 1, 2")
+@R.add(
+    """with s as (select market_id, ts, snapshot_id, epoch_us(ingested_at) - epoch_us(ts) <= 3600000000 as prompt from market_snapshot),
+    o as (select market_id, ts, min(snapshot_id) as snapshot_id from s where prompt group by 1, 2), n as (select market_id, ts, min(snapshot_id) as snapshot_id from s where not prompt group by 1, 2)
+    select market_id, epoch_us(ts) as us, snapshot_id from o union all select market_id, epoch_us(ts), snapshot_id from n where not exists (select 1 from o where o.market_id = n.market_id and o.ts = n.ts)"""
+)
 def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes of later deliveries added to those of the first ones where contract and time are new."""
-    s = table(spark, d, "market_snapshot").select("market_id", "ts", "snapshot_id")
-    old = s.limit(0)
-    return Q.insert_ignore(old, s, ["market_id", "ts"]).select("market_id", F.unix_micros("ts").alias("us"), "snapshot_id")
+    """Late quotes added to those that came within the hour, where contract and time are new."""
+    s = table(spark, d, "market_snapshot").withColumn("prompt", F.unix_micros("ingested_at") - F.unix_micros("ts") <= 3_600_000_000)
+    old = s.where("prompt").groupBy("market_id", "ts").agg(F.min("snapshot_id").alias("snapshot_id"))
+    new = s.where("not prompt").select("market_id", "ts", "snapshot_id")
+    return Q.insert_ignore(old, new, ["market_id", "ts"]).select("market_id", F.unix_micros("ts").alias("us"), "snapshot_id")
 
 
 @R.add(f"{_Q}, c as (select event_key, direction, count(*) filter (where resolved_yes) as n from m where kind = 'touch' and direction is not null group by 1, 2), a as (select *, 2.0 / count(*) over (partition by event_key) + n as alpha from c) select event_key, direction, alpha, round(alpha / sum(alpha) over (partition by event_key), 9) as mean from a")
