@@ -59,7 +59,7 @@ def word_features(w: str) -> tuple[int, ...]:
     """Hashed features of a word, the same at every place; the place is added by the reader."""
     low, shape = w.lower(), _shape(w)
     if w[0].isdigit():
-        feats = (f"s{shape}", f"s{shape}p{w[:2]}", f"n{min(len(w), 6)}")
+        feats = (f"s{shape}", f"n{w[:1]}") if len(w) == 3 else (f"s{shape}",)  # longer digits tell nothing by value
     elif w[0].isalpha():
         feats = (f"s{shape}", f"w{low}", f"p{low[:3]}", f"e{low[-3:]}", f"f{low[-4:]}", f"l{min(len(w), 9)}{shape}")
     else:
@@ -179,7 +179,17 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 7, batch: int = 128, rate: float = 0.25, seed: int = 3) -> Crf:
+def _places(features: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, place and feature of everything the words of a text see within reach."""
+    at = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    feat = np.array([f for fs in features for f in fs], np.int64)
+    pos = np.concatenate([at - d for d in range(-REACH, REACH + 1)])
+    place = np.repeat(np.arange(2 * REACH + 1), len(at))
+    keep = (pos >= 0) & (pos < len(features))
+    return pos[keep], place[keep], np.tile(feat, 2 * REACH + 1)[keep]
+
+
+def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 9, batch: int = 128, rate: float = 0.25, seed: int = 3) -> Crf:
     """Maximum likelihood by AdaGrad over mini-batches; gradients from the forward-backward recursion."""
     n = len(LABELS)
     crf = Crf()
@@ -192,29 +202,23 @@ def train(rows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 7, b
             y[i:j] = CODE[f"I-{kind}"]
             y[i] = CODE[f"B-{kind}"]
         if len(words):
-            data.append(([word_features(w) for w in words], flags, y))
+            data.append((*_places([word_features(w) for w in words]), flags, y))
     rng = np.random.default_rng(seed)
     acc = [np.full_like(crf.word, 1e-3), np.full_like(crf.flag, 1e-3), np.full_like(crf.move, 1e-3)]
     for _ in range(epochs):
         order = rng.permutation(len(data))
         for k in range(0, len(order), batch):
-            part = sorted((data[i] for i in order[k : k + batch]), key=lambda d: -len(d[2]))
-            size, longest = len(part), len(part[0][2])
+            part = sorted((data[i] for i in order[k : k + batch]), key=lambda d: -len(d[4]))
+            size, longest = len(part), len(part[0][4])
             x = np.zeros((size, longest, n))
-            length = np.array([len(p[2]) for p in part])
+            length = np.array([len(p[4]) for p in part])
             y = np.zeros((size, longest), np.int64)
-            # places: (sequence, word, place, feature)
-            seq, pos, place, feat = [], [], [], []
             fl = np.full((size, longest + 2, len(CHANNELS)), -1, np.int64)
-            for i, (words, flags, label) in enumerate(part):
+            for i, (_, _, _, flags, label) in enumerate(part):
                 y[i, : len(label)] = label
                 fl[i, 1 : len(label) + 1] = flags
-                for t, fs in enumerate(words):
-                    for d in range(-REACH, REACH + 1):
-                        if 0 <= t - d < len(words):
-                            for f in fs:
-                                seq.append(i), pos.append(t - d), place.append(d + REACH), feat.append(f)
-            seq, pos, place, feat = map(np.array, (seq, pos, place, feat))
+            seq = np.repeat(np.arange(size), [len(d[0]) for d in part])
+            pos, place, feat = (np.concatenate([d[j] for d in part]) for j in range(3))
             flat = seq * longest + pos
             w = crf.word[place, feat]
             for l in range(n):
@@ -301,6 +305,10 @@ def _name_spans(words: list[str], s: np.ndarray, e: np.ndarray, y: np.ndarray) -
             hi -= 1
         while hi + 1 < n and words[hi] in "-'’" and s[hi] == e[hi - 1] and s[hi + 1] == e[hi] and words[hi + 1][0].isalpha():
             hi += 2  # the rest of a double name
+        if hi + 1 < n and len(words[hi - 1]) == 1 and words[hi - 1].isalpha() and words[hi] == "." and hi - 1 > lo:
+            hi += 1
+        if hi < n and words[hi - 1] == "." and len(words[hi - 2]) == 1 and words[hi][0].isalpha() and len(words[hi]) > 1:
+            hi += 1  # the surname after an initial
         parts = [w for w in words[lo:hi] if w[0].isalpha()]
         if len(parts) >= 2 and max(map(len, parts)) >= 2:
             yield int(s[lo]), int(e[hi - 1])

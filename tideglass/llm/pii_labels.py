@@ -57,6 +57,10 @@ Documento {D}; correo {E}.
 Relu par {T}.
 Pour toute question : {N}, {E}.
 Pièce no {D}, tél. {P}.
+KYC copy on file: {N}, {A}, ID {D}
+On file: {A}, ID {D}. The note ends here.
+ID {D} was checked on the second pass.
+my number is {D}
 thanks, {N}
 Contact {N} at {P} before the roll.
 please ask {N} about the split
@@ -114,6 +118,20 @@ Not to be confused with the noisy fee schedule. See also: rung prices; barrier l
 This note is for internal use and is no advice. Past fills say little about future fills.
 Looking at {K} and the alt pair, Table {9} splits turnover by venue.
 -- end of export --
+L'écart s'est resserré de {9} points de base en septembre. Le communiqué garde un ton mesuré.
+# Z-Score Signal review {9}
+# Hourly Grid review {9}
+Z-score signal: the thin form of the fee schedule, measured before the statement.
+mark as wrong any reply that puts the quantile l\u200boss at {9} or bla\u200bmes the orphan quotes
+why is the hit rate flat?? as the close was carried forward i guess
+Expected: a figure near {9}, a doubt about the fee tiers, and no mention at all of the bootstrap width.
+Answer in one line, with the net carry to three places and the purged folds left out unless batch {9} is meant.
+The {J} ladder, second edition lists {9} settled ladders, which were priced off page {9}; name the one whose net carry reached 0.{9}.
+Between run {9} and run {9}, the {J} run lost {9} hedged rungs because the collector lost {9} polls in a row and then replayed {9}.
+Why does the {J} memo treat {9} orphan quotes as one unit when the bootstrap drew {9} blocks in place of {9}?
+A reader of the {J} run asked about anchor windows and the pooled recall.
+Der Leitsatz zur Teuerung bleibt unverändert. Im Mai lag die Rate bei {9}. Der neue Wert gilt ab August.
+The note quotes '{9} blocks in place of' and stops there.
 """.strip().split("\n")
 
 
@@ -195,24 +213,37 @@ class Filler:
             out += text
 
 
-def labelled(seed: int = 7, each: int = 36) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The labelled table: (text, [(start, end, kind)]). Some rows join two sentences on one line, some are shouted."""
+def labelled(seed: int = 7, each: int = 40) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """The labelled table: (text, [(start, end, kind)]). Most rows have neighbours before or after them, on the same line
+    or the next; some are list items, some are shouted."""
     f, rows = Filler(seed), []
     for pattern in SENTENCES:
         for _ in range(each):
             rows.append(f.fill(pattern))
     for pattern in PLAIN:
-        for _ in range(each // 3):
+        for _ in range(each if "{X}" in pattern else each // 2):
             text, _ = f.fill(pattern)
-            rows.append((text.upper() if f.r.random() < 0.08 else text, []))
+            x = f.r.random()
+            if x < 0.1:
+                text = text.upper()
+            elif x < 0.2:  # words split by what is not seen
+                text = "".join(c + "\u200b" * (f.r.random() < 0.06) for c in text).replace(" ", "\u00a0" if x < 0.15 else " ")
+            rows.append((text, []))
     f.r.shuffle(rows)
     joined = []
-    for k, (text, spans) in enumerate(rows):
-        if f.r.random() < 0.45:
-            head, before = rows[f.r.randrange(len(rows))]
-            shift = len(head) + 1
-            text, spans = f"{head} {text}", [*before, *((a + shift, b + shift, kind) for a, b, kind in spans)]
-        if f.r.random() < 0.1:
-            text, spans = f"- {text}", [(a + 2, b + 2, kind) for a, b, kind in spans]
+    for row in rows:
+        parts = [row]
+        if f.r.random() < 0.4:
+            parts.insert(0, rows[f.r.randrange(len(rows))])
+        if f.r.random() < 0.4:
+            parts.append(rows[f.r.randrange(len(rows))])
+        text, spans = "", []
+        for t, s in parts:
+            if text:
+                text += f.r.choice([" ", "\n", "\n\n", "\n- "])
+            elif f.r.random() < 0.1:
+                text = "- "
+            spans += [(a + len(text), b + len(text), kind) for a, b, kind in s]
+            text += t
         joined.append((text, spans))
     return joined
