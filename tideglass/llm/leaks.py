@@ -46,7 +46,7 @@ class LeakConfig:
     lengths; lanes: text streams searched in step."""
 
     share: float = 0.5
-    weight: float = 0.42
+    weight: float = 0.45
     hits: int = 5
     spread: float = 1.5
     lanes: int = 4096
