@@ -143,6 +143,7 @@ def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig) -
     by = np.argsort(-count, kind="stable")
     st, ln, k_, b_, s_ = start[by], count[by], gain[by], bound[by], sd[by]
     m, pend, iv = v[np.minimum(st, len(v) - 1)].copy(), np.zeros(n, np.int64), np.ones(n)
+    least = np.full(n, np.inf)  # of the withheld readings, the one nearest to the level
     spikes: list[tuple[np.ndarray, np.ndarray]] = []
     frozen = np.full(len(v), np.inf)
     active = np.searchsorted(-ln, -np.arange(1, int(ln[0]) + 1), side="right")
@@ -156,20 +157,23 @@ def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig) -
         score[at] = e / s_[:a]
         big = ae > b_[:a]
         if big.any():
-            back = ~big & (p > 0)
+            turned = big & (p > 0) & (ae < 0.5 * least[:a])  # nearer to the old level than to the excursion: back, after a move
+            back = (~big | turned) & (p > 0)
             if back.any():
                 spikes.append((at[back], p[back].copy()))
-            moved = big & (p >= cfg.longest)
+            moved = turned | (big & (p >= cfg.longest))
             ok = ~big
             mm[ok] += (k_[:a] * e)[ok]
             mm[moved] = x[moved]
             p[:] = np.where(big & ~moved, p + 1, 0)
+            least[:a] = np.where(p > 0, np.minimum(least[:a], ae), np.inf)
             iv[:a][ok] = (0.7 * iv[:a] + 0.3 * (e / s_[:a]) ** 2)[ok]
         else:
             if p.any():
                 back = p > 0
                 spikes.append((at[back], p[back].copy()))
                 p[:] = 0
+                least[:a] = np.inf
             mm += k_[:a] * e
             iv[:a] = 0.7 * iv[:a] + 0.3 * (e / s_[:a]) ** 2
         frozen[at] = iv[:a]
