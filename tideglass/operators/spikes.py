@@ -25,14 +25,15 @@ REASONS = ("range", "spike", "stuck")
 @dataclass(frozen=True)
 class SpikeConfig:
     """low, high: the physical range. spike_sd: bound on standardised innovations of a lively field, in sd of its moves.
-    quiet_moves: the same for a field that seldom changes, in units of its typical lasting move. longest: readings a spike
+    quiet_moves: the same for a field that seldom changes, in units of the typical lasting move of the source's steadiest
+    field: a last price gathers several moves of the quotes in one. longest: readings a spike
     lasts at most. stuck: equal readings that make a frozen run. lively: share of changes from which a field counts as one
     that changes at nearly every reading."""
 
     low: float = 0.0
     high: float = 1.0
     spike_sd: float = 5.4
-    quiet_moves: float = 2.1
+    quiet_moves: float = 3.6
     longest: int = 3
     stuck: int = 15
     lively: float = 0.6
@@ -84,10 +85,11 @@ def _median_by(series: np.ndarray, x: np.ndarray, n: int, q: float = 0.5) -> np.
     return out
 
 
-def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig, fields: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flag (0 none, 2 spike, 3 stuck), predicted level and standardised innovation of each reading.
 
-    series: 0..n-1, sorted, each in time order; v: readings in range. All series advance together.
+    series: 0..n-1, sorted, each in time order; v: readings in range. All series advance together. fields: the series are
+    those of n / fields sources, field by field.
     """
     flag, level, score = np.zeros(len(v), np.int8), np.full(len(v), np.nan), np.zeros(len(v))
     if not len(v):
@@ -128,7 +130,9 @@ def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig) -
     sd = np.where(quiet, np.sqrt(mid * high), mid / 0.6745)
     usable = (count >= 8) & (nm >= 1)
     sd = np.where(usable & (sd > 0), sd, np.inf)
-    sd = np.where((count >= 8) & quiet & (nm == 0), 0.004, sd)  # never moves otherwise
+    calm = np.where(quiet & (nm >= 2), sd, np.inf).reshape(fields, -1).min(axis=0)
+    sd = np.where((count >= 8) & quiet, np.minimum(sd, np.tile(calm, fields)), sd)
+    sd = np.where((count >= 8) & quiet & ~np.isfinite(sd), 0.004, sd)  # never moves otherwise
     bound = np.where(quiet, cfg.quiet_moves, cfg.spike_sd) * sd
     # noise share from the lag-one covariance of clipped moves: r = -cov, steady-state gain of the local-level model
     c = np.clip(np.where(np.isfinite(sd[series]), dx / sd[series], 0.0), -4, 4)
@@ -219,7 +223,7 @@ def _flag_table(t: pa.Table, fields: int, cfg: SpikeConfig) -> pa.Table:
         rows.append(keep)
         which.append(np.full(len(keep), f))
     s, v, r, w = (np.concatenate(z) for z in (series, values, rows, which))
-    flag, level, score = filter_series(s, v, n * fields, cfg)
+    flag, level, score = filter_series(s, v, n * fields, cfg, fields)
     hit = np.flatnonzero(flag)
     rr, rf = np.concatenate([z[0] for z in ranged]), np.concatenate([z[1] for z in ranged])
     row, field = np.concatenate([r[hit], rr]), np.concatenate([w[hit], rf])
