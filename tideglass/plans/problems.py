@@ -67,10 +67,22 @@ def p2_series(spark: SparkSession, d: str) -> DataFrame:
     return s.select("asset", "hour_epoch", "close", F.round("rv", 9).alias("rv"), "traded", "readings")
 
 
-@R.add()
+@R.add(
+    """
+    with r as (select asset, epoch_us(ts) as us, close as y, close > 0 and n_trades > 0 as ok, ingested_at, candle_id from candle where asset is not null and ts is not null),
+    once as (select asset, us, (list(case when ok then y end order by ingested_at desc, candle_id desc))[1] as y, (list(coalesce(ok, false) order by ingested_at desc))[1] as k from r group by 1, 2),
+    span as (select asset, min(us // 3600000000) as lo, max(us // 3600000000) as hi from once group by 1), grid as (select asset, unnest(range(lo, hi + 1)) as hour from span),
+    live as (select asset, us // 3600000000 as hour, bool_or(close is not null and n_trades > 0) as live from (select asset, epoch_us(ts) as us, close, n_trades from candle where asset is not null and ts is not null) group by 1, 2),
+    near as (select g.asset, g.hour, o.y, (o.us - g.hour * 3600000000) / 3.6e9 - 0.5 as x from grid g join (select *, unnest([-1, 0, 1]) + us // 3600000000 as at from once where y is not null) o on o.asset = g.asset and o.at = g.hour),
+    w as (select *, 1 - pow(x / 1.5, 2) as w from near), k as (select asset, hour, sum(w) as s0, sum(w * x) as s1, sum(w * x * x) as s2, sum(w * y) as y0, sum(w * x * y) as y1, sum(w * w) as ww from w group by 1, 2)
+    select g.asset, (g.hour * 3600)::bigint as hour_epoch, round(case when s0 * s2 - s1 * s1 > 1e-9 * s0 * s0 then (s2 * y0 - s1 * y1) / (s0 * s2 - s1 * s1) when s0 > 1e-12 then y0 / s0 end, 5) as fit,
+        round(case when ww > 1e-12 then s0 * s0 / ww else 0 end, 5) as support, not coalesce(l.live, false) as missing
+    from grid g left join k using (asset, hour) left join live l using (asset, hour)
+    """
+)
 def p2_smoothed(spark: SparkSession, d: str) -> DataFrame:
     """The kernel's local line and effective support at every hour."""
-    return hourly_series(table(spark, d, "candle")).select("asset", "hour_epoch", F.round("fit", 6).alias("fit"), F.round("support", 6).alias("support"), "missing")
+    return hourly_series(table(spark, d, "candle")).select("asset", "hour_epoch", F.round("fit", 5).alias("fit"), F.round("support", 5).alias("support"), "missing")
 
 
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -126,11 +138,11 @@ _P5 = """
 """
 
 
-@R.add(_P5 + "select asset, anchor_date, round(rv1d_var, 12) as rv1d_var, round(rv7d_var, 12) as rv7d_var, round(rv30d_var, 12) as rv30d_var, round(coverage30, 9) as coverage30 from f")
+@R.add(_P5 + "select asset, anchor_date, round(rv1d_var + 1e-15, 12) as rv1d_var, round(rv7d_var + 1e-15, 12) as rv7d_var, round(rv30d_var + 1e-15, 12) as rv30d_var, round(coverage30, 9) as coverage30 from f")
 def p5_features(spark: SparkSession, d: str) -> DataFrame:
-    """Trailing totals of every asset and day."""
+    """Trailing totals of every asset and day. The sums are exact, so halves do occur: a trace more rounds them alike."""
     f = volatility_features(table(spark, d, "hourly_grid"))
-    return f.select("asset", "anchor_date", *[F.round(c, 12).alias(c) for c in ("rv1d_var", "rv7d_var", "rv30d_var")], F.round("coverage30", 9).alias("coverage30"))
+    return f.select("asset", "anchor_date", *[F.round(F.col(c) + 1e-15, 12).alias(c) for c in ("rv1d_var", "rv7d_var", "rv30d_var")], F.round("coverage30", 9).alias("coverage30"))
 
 
 @R.add(

@@ -127,15 +127,21 @@ def window_extremes(spark: SparkSession, d: str) -> DataFrame:
     return V.forward_extremes(V.dense_hours(_grid(spark, d)), [24]).select("asset", "h", "hi24", "lo24")
 
 
-@R.add()
+@R.add(
+    """with g as (select asset, h, arg_max(ts, (ingested_at, ts)) as ts, (list(rv order by ingested_at desc, ts desc, rv desc nulls last))[1] as rv from hourly_grid where asset is not null and ts is not null group by 1, 2),
+    d as (select asset, (ts at time zone 'UTC')::date as day, sum(rv) as rv from g group by 1, 2), sp as (select asset, min(day) + 1 as lo, max(day) + 31 as hi from d group by 1), a as (select asset, unnest(generate_series(lo, hi, interval 1 day))::date as day from sp),
+    f as (select a.asset, a.day, coalesce(sum(d.rv) filter (where d.day >= a.day - 1), 0) as rv1d, coalesce(sum(d.rv) filter (where d.day >= a.day - 7), 0) / 7 as rv7d, coalesce(sum(d.rv), 0) / 30 as rv30d from a left join d on d.asset = a.asset and d.day < a.day and d.day >= a.day - 30 group by 1, 2),
+    n as (select *, lead(rv1d) over (partition by asset order by day) as next from f), l as (unpivot (select asset, next, rv1d, rv7d, rv30d from n where next > 1e-12) on rv1d, rv7d, rv30d into name model value forecast)
+    select asset, model, round(avg(next / forecast - ln(next / forecast) - 1), 5) as qlike, count(*) as n from l where forecast > 1e-12 group by 1, 2"""
+)
 def vol_qlike(spark: SparkSession, d: str) -> DataFrame:
     """Loss of yesterday's, last week's and last month's variance as forecasts of the day's."""
     f = volatility_features(_grid(spark, d))
     by = Window.partitionBy("asset").orderBy("anchor_date")
-    f = f.withColumn("next", F.lead("rv1d_var").over(by)).where("next > 0")
-    each = f.select("asset", "next", F.expr("stack(3, 'rv1d', rv1d_var, 'rv7d', rv7d_var, 'rv30d', rv30d_var) as (model, forecast)")).where("forecast > 0")
+    f = f.withColumn("next", F.lead("rv1d_var").over(by)).where("next > 1e-12")
+    each = f.select("asset", "next", F.expr("stack(3, 'rv1d', rv1d_var, 'rv7d', rv7d_var, 'rv30d', rv30d_var) as (model, forecast)")).where("forecast > 1e-12")
     x = F.col("next") / F.col("forecast")
-    return each.groupBy("asset", "model").agg(F.round(F.avg(x - F.log(x) - 1), 6).alias("qlike"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy("asset", "model").agg(F.round(F.avg(x - F.log(x) - 1), 5).alias("qlike"), F.count(F.lit(1)).alias("n"))
 
 
 _KINDS = ", ".join(f"({d}, {z}, {s})" for d in CFG.horizons_d for z in CFG.z for s in (1, -1))
