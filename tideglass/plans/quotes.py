@@ -144,10 +144,10 @@ def sql_past_unresolved(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("event_key").agg(F.countDistinct("market_id").alias("contracts"))
 
 
-@R.add(f"{_Q}, w as (select market_id, (epoch_us(ts) // 3600000000)::bigint as hour, count(*) as n, round(avg(bid), 8) as bid, round(min(bid), 8) as low from q group by 1, 2) select * from w")
+@R.add(f"{_Q}, w as (select market_id, (epoch_us(ts) // 3600000000)::bigint as hour, count(*) as n, round(avg(bid) + 1e-12, 8) as bid, round(min(bid), 8) as low from q group by 1, 2) select * from w")
 def quotes_hourly(spark: SparkSession, d: str) -> DataFrame:
     """Quotes by contract and hour."""
-    return quotes(spark, d).groupBy("market_id", F.floor(F.unix_seconds("ts") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bid"), 8).alias("bid"), F.round(F.min("bid"), 8).alias("low"))
+    return quotes(spark, d).groupBy("market_id", F.floor(F.unix_seconds("ts") / 3600).alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("bid") + 1e-12, 8).alias("bid"), F.round(F.min("bid"), 8).alias("low"))
 
 
 @R.add(f"""{_Q}, t as (select market_id, asset, window_start, direction from m where kind = 'touch' and window_start is not null and asset is not null),

@@ -81,7 +81,8 @@ def event_backtest(spark: SparkSession, d: str) -> DataFrame:
     r = _returns(spark, d).where("ret1 is not null").withColumn("week", F.floor(F.unix_seconds("ts") / 604800))
     r = r.where((F.when(F.col("score") >= 12, F.col("ret1") - 0.001).otherwise(F.lit(0.0))) > -1)
     b = E.bets(r, ["week"], "ts", "score", "ret1", 5.0, 12.0)
-    return b.select("id", "week", "pos", (F.round("net", 9) + F.lit(0.0)).alias("net"), (F.round(F.log1p("equity"), 6) + F.lit(0.0)).alias("log_equity"))
+    by = Window.partitionBy("week").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    return b.select("id", "week", "pos", (F.round("net", 9) + F.lit(0.0)).alias("net"), (F.round(F.sum(F.log1p("net")).over(by), 6) + F.lit(0.0)).alias("log_equity"))
 
 
 @R.add("select label_id, epoch_us(timezone('America/New_York', strptime(meeting_date || ' 14:00', '%Y-%m-%d %H:%M'))) as us from reliability_label where regexp_full_match(meeting_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_strptime(meeting_date, '%Y-%m-%d') is not null")

@@ -92,7 +92,7 @@ def vol_signature(spark: SparkSession, d: str) -> DataFrame:
     f"""with {V.DENSE_SQL}, d as (select asset, h // 24 as day, sum(rv) as rv, count(*) as n from dense group by 1, 2), w as (select asset, day, n,
         ln(greatest(rv, 1e-12)) as x1, ln(greatest(avg(rv) over (partition by asset order by day rows between 4 preceding and current row), 1e-12)) as x5, ln(greatest(avg(rv) over (partition by asset order by day rows between 21 preceding and current row), 1e-12)) as x22,
         case when lead(day, 5) over (partition by asset order by day) is not null then avg(rv) over (partition by asset order by day rows between 1 following and 5 following) end as target, row_number() over (partition by asset order by day) as k from d)
-    select asset, day, round(x1, 8) as x1, round(x5, 8) as x5, round(x22, 8) as x22, round(target, 12) as target from w where k >= 22"""
+    select asset, day, round(x1, 8) as x1, round(x5, 8) as x5, round(x22, 8) as x22, round(target + 1e-15, 12) as target from w where k >= 22"""
 )
 def har_features(spark: SparkSession, d: str) -> DataFrame:
     """Log daily variance, its 5 and 22 day means, and the mean of the next five days."""
@@ -100,7 +100,7 @@ def har_features(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("asset").orderBy("day")
     log = lambda c: F.round(F.log(F.greatest(c, F.lit(1e-12))), 8)
     mean = lambda a, b: F.avg("rv").over(by.rowsBetween(a, b))
-    w = daily.select("asset", "day", log(F.col("rv")).alias("x1"), log(mean(-4, 0)).alias("x5"), log(mean(-21, 0)).alias("x22"), F.round(F.when(F.lead("day", 5).over(by).isNotNull(), mean(1, 5)), 12).alias("target"), F.row_number().over(by).alias("k"))
+    w = daily.select("asset", "day", log(F.col("rv")).alias("x1"), log(mean(-4, 0)).alias("x5"), log(mean(-21, 0)).alias("x22"), F.round(F.when(F.lead("day", 5).over(by).isNotNull(), mean(1, 5)) + 1e-15, 12).alias("target"), F.row_number().over(by).alias("k"))
     return w.where("k >= 22").drop("k")
 
 
@@ -115,11 +115,11 @@ _FEAT = f"""{V.DENSE_SQL}, fi as (select *, row_number() over a - 1 as i, coales
 """
 
 
-@R.add(f"with {_FEAT} select asset, h, round(vol, 6) as vol, round(rv1, 9) as rv1, round(rv7, 9) as rv7, round(ewma_vol, 6) as ewma_vol, round(alpha, 6) as alpha, round(beta, 9) as beta, round(coverage, 8) as coverage from feat")
+@R.add(f"with {_FEAT} select asset, h, round(vol, 6) as vol, round(rv1 + 1e-13, 9) as rv1, round(rv7 + 1e-13, 9) as rv7, round(ewma_vol, 6) as ewma_vol, round(alpha, 6) as alpha, round(beta, 9) as beta, round(coverage, 8) as coverage from feat")
 def features_causal(spark: SparkSession, d: str) -> DataFrame:
     f = V.features(_grid(spark, d), CFG.warmup_h)
     r = lambda c, n: F.round(c, n).alias(c)
-    return f.select("asset", "h", r("vol", 6), r("rv1", 9), r("rv7", 9), r("ewma_vol", 6), r("alpha", 6), r("beta", 9), r("coverage", 8))
+    return f.select("asset", "h", r("vol", 6), F.round(F.col("rv1") + 1e-13, 9).alias("rv1"), F.round(F.col("rv7") + 1e-13, 9).alias("rv7"), r("ewma_vol", 6), r("alpha", 6), r("beta", 9), r("coverage", 8))
 
 
 @R.add(f"with {V.DENSE_SQL}, e as (select asset, h, max(high) over w as hi, min(low) over w as lo, count(*) over w as n from dense window w as (partition by asset order by h rows between current row and 23 following)) select asset, h, case when n = 24 then hi end as hi24, case when n = 24 then lo end as lo24 from e")
