@@ -115,11 +115,11 @@ _FEAT = f"""{V.DENSE_SQL}, fi as (select *, row_number() over a - 1 as i, coales
 """
 
 
-@R.add(f"with {_FEAT} select asset, h, round(vol, 6) as vol, round(rv1 + 1e-13, 9) as rv1, round(rv7 + 1e-13, 9) as rv7, round(ewma_vol, 6) as ewma_vol, round(alpha, 6) as alpha, round(beta, 9) as beta, round(coverage, 8) as coverage from feat")
+@R.add(f"with {_FEAT} select asset, h, round(vol, 6) as vol, round(rv1 + 3.7e-14, 9) as rv1, round(rv7 + 3.7e-14, 9) as rv7, round(ewma_vol, 6) as ewma_vol, round(alpha, 6) as alpha, round(beta, 9) as beta, round(coverage, 8) as coverage from feat")
 def features_causal(spark: SparkSession, d: str) -> DataFrame:
     f = V.features(_grid(spark, d), CFG.warmup_h)
     r = lambda c, n: F.round(c, n).alias(c)
-    return f.select("asset", "h", r("vol", 6), F.round(F.col("rv1") + 1e-13, 9).alias("rv1"), F.round(F.col("rv7") + 1e-13, 9).alias("rv7"), r("ewma_vol", 6), r("alpha", 6), r("beta", 9), r("coverage", 8))
+    return f.select("asset", "h", r("vol", 6), F.round(F.col("rv1") + 3.7e-14, 9).alias("rv1"), F.round(F.col("rv7") + 3.7e-14, 9).alias("rv7"), r("ewma_vol", 6), r("alpha", 6), r("beta", 9), r("coverage", 8))
 
 
 @R.add(f"with {V.DENSE_SQL}, e as (select asset, h, max(high) over w as hi, min(low) over w as lo, count(*) over w as n from dense window w as (partition by asset order by h rows between current row and 23 following)) select asset, h, case when n = 24 then hi end as hi24, case when n = 24 then lo end as lo24 from e")
