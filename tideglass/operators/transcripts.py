@@ -6,7 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What counts as a path, and what punctuation may trail it.
 PATH = r"([A-Za-z0-9_.-]+/[A-Za-z0-9_./-]+)"
+TRAILING = r"[.,:;)'\"]+$"
 
 
 def turns(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -18,7 +20,7 @@ def turns(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def paths(text: Column) -> Column:
     """Distinct path-like words without trailing punctuation."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATH), 1), lambda x: F.regexp_replace(x, r"[.,:;)'\"]+$", "")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATH), 1), lambda x: F.regexp_replace(x, TRAILING, "")))
 
 
 def citations(t: DataFrame) -> DataFrame:

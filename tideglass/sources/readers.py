@@ -68,10 +68,13 @@ def price_history(raw: DataFrame, column: str) -> DataFrame:
     return rows.select(*[c for c in raw.columns if c != column], F.timestamp_seconds("_h.t").alias("ts"), F.col("_h.p").alias("last_price"))
 
 
+# Fixed value: how venues write a touch level.
+STRIKE = "([↑↓])\\s*\\$?\\s*([\\d,]+(?:\\.\\d+)?)"
+
+
 def strike_from(title: Column) -> tuple[Column, Column]:
     """Direction and level of titles with an arrow and a number."""
-    arrow = F.regexp_extract(title, "([↑↓])\\s*\\$?\\s*([\\d,]+(?:\\.\\d+)?)", 1)
-    level = F.regexp_extract(title, "([↑↓])\\s*\\$?\\s*([\\d,]+(?:\\.\\d+)?)", 2)
+    arrow, level = F.regexp_extract(title, STRIKE, 1), F.regexp_extract(title, STRIKE, 2)
     return F.when(arrow == "↑", "up").when(arrow == "↓", "down"), F.nullif(F.replace(level, F.lit(","), F.lit("")), F.lit("")).cast("double")
 
 
