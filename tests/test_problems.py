@@ -213,3 +213,10 @@ def test_nested_records(spark, rows):
     assert set(r.parent for r in tags.collect()) == {"$.pages[0].events[0].markets[0]"}
     assert market_refs(df.limit(0), "payload_id", "payload").count() == 0
     assert NestConfig().keyed == ("markets",)
+
+
+def test_ranges_by_characters():
+    from tideglass.functions.arrow import by_chars
+
+    assert list(by_chars([], 10)) == [] and list(by_chars(["a" * 50], 10)) == [(0, 1)]
+    assert list(by_chars(["aaaa", "bbbb", "cccc", "", "d" * 20, "e"], 10)) == [(0, 2), (2, 4), (4, 5), (5, 6)]

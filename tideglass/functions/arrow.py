@@ -31,3 +31,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows:
         held, n = t.slice(cut).to_batches(), t.num_rows - cut
     if n:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def by_chars(texts: list[str], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts with at most that many characters together, or one text."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.functions.num import expit, log_loss, logit
+from tideglass.session import stored
 
 
 def unpivot_models(df: DataFrame, models: tuple[str, ...], keys: list[str]) -> DataFrame:
@@ -58,7 +59,7 @@ def calibration(df: DataFrame, by: list[str], steps: int = 25) -> DataFrame:
     theta = {g: np.array([0.0, 1.0]) for g in groups}
     spark = df.sparkSession
     x = logit(F.col("p"))
-    base = df.select(*by, x.alias("x"), F.col("y").cast("double").alias("y"))
+    base = stored(df.select(*by, x.alias("x"), F.col("y").cast("double").alias("y")), "calibration")  # read once a step
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema] + ["a double", "b double"])
     for _ in range(steps):
         par = spark.createDataFrame([(*g, float(t[0]), float(t[1])) for g, t in theta.items()], schema)

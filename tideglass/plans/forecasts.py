@@ -74,7 +74,7 @@ def pool_logit(spark: SparkSession, d: str) -> DataFrame:
     return f.select("forecast_id", F.round(expit(0.3 * z + 0.7 * other), 9).alias("pooled"), F.round(expit(z + F.log(F.lit(1.5))), 9).alias("updated"))
 
 
-@R.add(f"{_F}, w as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]) as w), t as (select w, 1 / (1 + exp(-w * ln(q / (1 - q)))) as p, y from l, w) select w, round(avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))), 8) as log_loss from t group by 1")
+@R.add(f"{_F}, w as (select unnest([0.0, 0.25, 0.5, 0.75, 1.0]::double[]) as w), t as (select w, 1 / (1 + exp(-w * ln(q / (1 - q)))) as p, y from l, w) select w, round(avg(-(y * ln(least(greatest(p, 1e-6), 1 - 1e-6)) + (1 - y) * ln(1 - least(greatest(p, 1e-6), 1 - 1e-6)))), 8) as log_loss from t group by 1")
 def pool_weight_grid(spark: SparkSession, d: str) -> DataFrame:
     """Log loss of the forecasts drawn towards a half by every weight of a grid."""
     f = forecasts(spark, d).select(logit(F.col("p")).alias("z"), F.col("y").cast("double").alias("y"))
