@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions.arrow import by_chars
+
 _ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 _BREAKS = re.compile(r"\\[nrt]")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
@@ -209,8 +211,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(held.value, cfg)
             for b in batches:
-                d = b["d"].to_pylist()
-                got = [(d[j], i, s, w, p) for j, i, s, w, p in index.leaks(b["t"].to_pylist())]
+                d, texts = b["d"].to_pylist(), b["t"].to_pylist()
+                got = [(d[lo + j], i, s, w, p) for lo, hi in by_chars(texts, 4_000_000) for j, i, s, w, p in index.leaks(texts[lo:hi])]
                 if got:
                     types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*got), types)], names=["d", "i", "share", "weighted", "word"])

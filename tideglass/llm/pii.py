@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.functions.arrow import by_chars
 from tideglass.llm.pii_labels import labelled
 
 KINDS = {"E": "email", "P": "phone", "D": "id_number", "A": "address", "N": "name"}
@@ -370,16 +371,16 @@ def _run(df: DataFrame, id_col: str, text_col: str, model: Crf | None, want_text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = expand(held.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
-                texts = b["t"].to_pylist()
+            every = whole["t"].to_pylist()
+            for lo, hi in by_chars(every):
+                texts, ids = every[lo:hi], whole["id"].slice(lo, hi - lo)
                 spans = find_spans(crf, texts)
                 if want_text:
-                    yield pa.RecordBatch.from_arrays([b["id"], pa.array([redacted(t, s) for t, s in zip(texts, spans)], pa.string()), pa.array([len(s) for s in spans], pa.int32())], names=["id", "text", "spans"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([redacted(t, s) for t, s in zip(texts, spans)], pa.string()), pa.array([len(s) for s in spans], pa.int32())], names=["id", "text", "spans"])
                     continue
                 row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
                 flat = [x for s in spans for x in s]
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(row)), pa.array([KINDS[k] for _, _, k in flat], pa.string()), pa.array([lo for lo, _, _ in flat], pa.int64()), pa.array([hi for _, hi, _ in flat], pa.int64())], names=["id", "kind", "start_pos", "end_pos"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array([KINDS[k] for _, _, k in flat], pa.string()), pa.array([a for a, _, _ in flat], pa.int64()), pa.array([b for _, b, _ in flat], pa.int64())], names=["id", "kind", "start_pos", "end_pos"])
 
     schema = f"id {kind}, text string, spans int" if want_text else f"id {kind}, kind string, start_pos long, end_pos long"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
