@@ -101,8 +101,8 @@ def brute_known(events, versions):
     return out
 
 
-@pytest.mark.parametrize("per", [3, 100_000])
-def test_as_known_against_brute_force(spark, per):
+@pytest.mark.parametrize(("per", "chunk"), [(3, 100_000), (100_000, 100_000), (5, 7)])
+def test_as_known_against_brute_force(spark, per, chunk):
     rng = np.random.default_rng(3)
     day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=int(k))
     versions = [("s" + str(rng.integers(0, 3)), day(rng.integers(0, 30)), day(rng.integers(0, 60)), None if rng.random() < 0.2 else day(rng.integers(0, 90)), None if rng.random() < 0.1 else float(rng.random())) for _ in range(150)]
@@ -112,7 +112,7 @@ def test_as_known_against_brute_force(spark, per):
     events += events[:5] + [(200, None, events[0][2]), (201, "s0", None), (None, "s0", events[0][2])]
     ev = spark.createDataFrame([(*e, 1.0) for e in events], "id long, e string, ts timestamp, value double")
     vs = spark.createDataFrame([(*v, "x") for v in versions], "e string, about date, since date, until date, value double, id string")
-    got = as_known(ev, vs, "id", "e", "ts", "about", "since", "until", "value", per_salt=per).collect()
+    got = as_known(ev, vs, "id", "e", "ts", "about", "since", "until", "value", per_salt=per, per_chunk=chunk).collect()
     assert {(r.id, r.e): (r.about, r.since) for r in got} == brute_known(events, versions) and len(got) == len({(r.id, r.e) for r in got})
     assert as_known(ev.limit(0), vs, "id", "e", "ts", "about", "since", "until", "value").count() == 0
     assert as_known(ev, vs.limit(0), "id", "e", "ts", "about", "since", "until", "value").count() == 0

@@ -35,14 +35,17 @@ def timeline(entity: np.ndarray, about: np.ndarray, since: np.ndarray, until: np
     return days, rows
 
 
-def as_known(events: DataFrame, versions: DataFrame, event_id: str, entity: str, event_ts: str, about: str, since: str, until: str, value: str, per_salt: int = 100_000) -> DataFrame:
+def as_known(events: DataFrame, versions: DataFrame, event_id: str, entity: str, event_ts: str, about: str, since: str, until: str, value: str, per_salt: int = 100_000, per_chunk: int = 100_000) -> DataFrame:
     """event id, entity, about, since, value: for each event the latest non-null observation recorded on its UTC day.
 
     Both days of a version are included, a null end is open. Of the versions recorded that day, the one with the latest
     ``about`` holds, then the latest ``since``. Events without one do not appear.
 
-    Events of an entity are salted so that no group has more than about per_salt of them; the entity's versions go to
-    each of its salts. Nulls: events of null id, entity or time and versions of null entity, ``about``, ``since`` or
+    No group outgrows a task on either side: an entity's events are salted and its versions cut into chunks, by counted
+    rows; every salt meets every chunk, and since the best of all versions is the best of the chunks' best ones, the
+    largest (about, since) per event is the answer.
+
+    Nulls: events of null id, entity or time and versions of null entity, ``about``, ``since`` or
     value never match. Repeats of an event id, and of a version, count once; equal versions of different values give the
     larger value. Versions that end before they start are void. Empty tables give no rows; other columns are ignored.
     """
@@ -54,8 +57,11 @@ def as_known(events: DataFrame, versions: DataFrame, event_id: str, entity: str,
     vs = vs.select(F.col(entity).alias("e"), day(about).alias("about"), day(since).alias("since"), F.coalesce(day(until), F.lit(LAST)).alias("until"), v.alias("v"))
     vs = vs.where(F.col("until") >= F.col("since")).groupBy("e", "about", "since").agg(F.max("until").alias("until"), F.max("v").alias("v"))
     salts = ev.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / per_salt).cast("int").alias("n"))
-    ev = ev.join(salts, "e").withColumn("s", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).select("id", "e", "d", "s")
-    vs = vs.join(salts, "e").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("e", "about", "since", "until", "v", "s")
+    chunks = vs.groupBy("e").agg(F.ceil(F.count(F.lit(1)) / per_chunk).cast("int").alias("m"))
+    cut = salts.join(chunks, "e")
+    part = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ev = ev.join(cut, "e").withColumn("s", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).withColumn("c", part("m")).select("id", "e", "d", "s", "c")
+    vs = vs.join(cut, "e").withColumn("c", F.pmod(F.xxhash64("about", "since"), F.col("m")).cast("int")).withColumn("s", part("n")).select("e", "about", "since", "until", "v", "s", "c")
     kind = dict(events.select(F.col(event_id).alias("id")).dtypes)["id"]
     name = dict(events.select(F.col(entity).alias("e")).dtypes)["e"]
 
@@ -71,6 +77,7 @@ def as_known(events: DataFrame, versions: DataFrame, event_id: str, entity: str,
         r = row[hit]
         return pd.DataFrame({"id": left["id"].to_numpy()[hit], "e": left["e"].to_numpy()[hit], "about": a[r], "since": s[r], "v": right["v"].to_numpy()[r]})
 
-    out = ev.groupBy("e", "s").cogroup(vs.groupBy("e", "s")).applyInPandas(match, f"id {kind}, e {name}, about long, since long, v double")
+    out = ev.groupBy("e", "s", "c").cogroup(vs.groupBy("e", "s", "c")).applyInPandas(match, f"id {kind}, e {name}, about long, since long, v double")
     date = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c).cast("int"))
-    return out.dropDuplicates(["id", "e"]).select(F.col("id").alias(event_id), F.col("e").alias(entity), date("about").alias(about), date("since").alias(since), F.col("v").alias(value))
+    best = out.groupBy("id", "e").agg(F.max(F.struct("about", "since", "v")).alias("b"))
+    return best.select(F.col("id").alias(event_id), F.col("e").alias(entity), date("b.about").alias(about), date("b.since").alias(since), F.col("b.v").alias(value))
