@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tideglass.operators import pairs as P
 from tideglass.operators.bars import resample
 from tideglass.plans.registry import Registry
+from tideglass.session import stored
 from tideglass.sources.adapters import CANDLES_SQL, candles
 
 R = Registry()
@@ -139,6 +140,7 @@ def meta_label(spark: SparkSession, d: str) -> DataFrame:
 
     s = _signal(spark, d)
     f = P.entry_features(s).join(P.triple_barrier(s, EXIT, STOP, LONGEST).select("pair", "entry", "label"), ["pair", "entry"])
+    f = stored(f, "entries")  # the trees read it many times
     rows = VectorAssembler(inputCols=["abs_z", "spread_vol", "hedge_vol", "since"], outputCol="x").transform(f)
     cut = rows.approxQuantile("entry", [0.7], 0.01)
     cut = cut[0] if cut else 0
