@@ -324,3 +324,11 @@ def test_beliefs(spark):
     assert j.jumps == 4 and j.jump_mean == pytest.approx(0.3)
     iv = spark.createDataFrame([(float(V.touch(100.0, 105.0, 0.7, 0.02, 1.0)),), (1.5,)], "p double").select(M.implied_volatility(F.col("p"), F.lit(100.0), F.lit(105.0), F.lit(0.02))).collect()
     assert iv[0][0] == pytest.approx(0.7, abs=1e-6) and iv[1][0] is None
+
+
+def test_order_key(spark):
+    top = 2**63 - 1
+    rows = [(None, 0), (-5, top), (0, -top), (0, 0), (0, top), (1, -5), (4 * 10**15, 7)]
+    df = spark.createDataFrame(rows, "us long, id long").select(num.order_key(F.col("us"), F.col("id")).alias("k"))
+    got = [r.k for r in df.collect()]
+    assert got == sorted(got) and len(set(got)) == len(rows)

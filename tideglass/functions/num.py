@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,3 +94,10 @@ def interpolate(x: Column, xs: Sequence[float], ys: Sequence[Column | float]) ->
     for (x0, y0), (x1, y1) in zip(zip(xs, ys), zip(xs[1:], ys[1:])):
         out = out.when(x <= x1, y0 + (y1 - y0) * (x - x0) / (x1 - x0))
     return out.when(x.isNotNull(), ys[-1])
+
+
+def order_key(micros: Column, tie: Column) -> Column:
+    """One decimal that orders by microseconds, then by a whole number: what min_by and max_by compare in a hash aggregate,
+    where a struct would make Spark sort all rows first. Null where the tie is; null microseconds come first."""
+    us = F.coalesce(micros, F.lit(-(10**16))).cast("decimal(17,0)")
+    return (us * F.lit(Decimal(2 * 10**19)).cast("decimal(20,0)") + (tie.cast("decimal(20,0)") + F.lit(Decimal(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)")).cast("decimal(38,0)")

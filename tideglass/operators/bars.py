@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions.num import order_key
 from tideglass.operators.ordered import last_known, running_sum
 
 DAY = 86400
@@ -26,7 +27,7 @@ def distinct_ticks(ticks: DataFrame) -> DataFrame:
 
 def time_bars(ticks: DataFrame, seconds: int) -> DataFrame:
     """OHLC, volume and count per asset and left-labelled interval; empty intervals are absent. Map-side combined."""
-    at = F.struct("ts", "id")
+    at = order_key(F.unix_micros("ts"), F.col("id"))
     start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / seconds) * seconds)
     return valid_ticks(ticks).groupBy("asset", start.alias("bar")).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_trades")
@@ -50,7 +51,7 @@ def dollar_bars(ticks: DataFrame, target: int) -> DataFrame:
     cum = running_sum(rows, "asset", ["ts", "id"], day_of(), {"cum": F.col("value")}).join(F.broadcast(total), "asset")
     # assets are few by nature: one row each
     bucket = F.floor(F.try_divide((F.col("cum").cast("decimal(28,6)") * F.lit(target)).cast("decimal(38,6)"), F.col("total")))
-    at = F.struct("ts", "id")
+    at = order_key(F.unix_micros("ts"), F.col("id"))
     return cum.groupBy("asset", bucket.cast("long").alias("bucket")).agg(
         F.max("ts").alias("bar"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"),
         F.sum("volume").alias("volume"), F.sum("value").cast("double").alias("dollar_volume"), F.count(F.lit(1)).alias("n_ticks"),

@@ -13,6 +13,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions.num import order_key
+
 CELL_S = 3600
 FINE_S = 300
 #: Half width of the kernel in cells: the cell itself and one on either side.
@@ -62,20 +64,21 @@ def hourly_series(candles: DataFrame, asset: str = "asset", ts: str = "ts", clos
     )
     # one shuffle by (asset, hour); the three reductions below all keep that partitioning
     rows = rows.repartition("a", "hour")
-    once = rows.groupBy("a", "hour", "us").agg(F.max(F.struct("v", "id", "y")).alias("r"), F.bool_or(F.coalesce("live", F.lit(False))).alias("live")).select("a", "hour", "us", F.col("r.y").alias("y"), "live")
+    held = F.max_by("y", order_key(F.col("v"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**62)))))
+    once = rows.groupBy("a", "hour", "us").agg(held.alias("y"), F.bool_or(F.coalesce("live", F.lit(False))).alias("live"))
     tau = (F.col("us") - F.col("hour") * (CELL_S * 1_000_000)) / (CELL_S * 1e6)
     have = F.col("y").isNotNull()
     fine = once.withColumn("tau", tau).groupBy("a", "hour", F.floor(F.col("us") / (FINE_S * 1_000_000)).alias("five")).agg(
         F.count("y").alias("n"),
         F.bool_or("live").alias("live"),
-        F.max(F.when(have, F.struct("us", "y"))).alias("end"),
+        F.max_by("y", F.when(have, F.col("us"))).alias("end"),
         *[F.sum(F.when(have, F.pow("tau", F.lit(k)))).alias(f"t{k}") for k in range(5)],
         *[F.sum(F.when(have, F.pow("tau", F.lit(k)) * F.col("y"))).alias(f"y{k}") for k in range(4)],
     )
     cells = fine.groupBy("a", "hour").agg(
         F.sum("n").alias("n"),
         F.bool_or("live").alias("live"),
-        F.array_sort(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("five", F.col("end.y").alias("y"))))).alias("ends"),
+        F.array_sort(F.collect_list(F.when(F.col("end").isNotNull(), F.struct("five", F.col("end").alias("y"))))).alias("ends"),
         *[F.sum(f"t{k}").alias(f"t{k}") for k in range(5)],
         *[F.sum(f"y{k}").alias(f"y{k}") for k in range(4)],
     )
