@@ -11,14 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideglass.functions.num import order_key
+
 EXACT = "decimal(38,20)"
 
 
 def latest_rows(df: DataFrame, keys: list[str], version: str, values: list[str]) -> DataFrame:
-    """Of each key the row with the latest version; ties by the values themselves, so repeats count once."""
-    kept = df.where(F.coalesce(*[F.col(k).isNull() for k in keys[:1]]) == F.lit(False)) if keys else df
-    best = F.max(F.struct(F.col(version).alias("_v"), *[F.col(v).alias(f"_{i}") for i, v in enumerate(values)])).alias("_r")
-    return kept.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_r._{i}").alias(v) for i, v in enumerate(values)])
+    """Of each key the row with the latest version (a timestamp, null first); of equal versions one and the same row, by
+    the hash of its values, so repeats count once. By hash aggregation, without a sort; keys hardly repeat, so the bare
+    rows are shuffled rather than partial results."""
+    kept = df.where(F.col(keys[0]).isNotNull()).select(*keys, version, *values).repartition(*keys)
+    at = order_key(F.unix_micros(F.col(version).cast("timestamp")), F.xxhash64(*values))
+    return kept.withColumn("_at", at).groupBy(*keys).agg(*[F.max_by(v, "_at").alias(v) for v in values])
 
 
 def trailing_totals(daily: DataFrame, entity: str, day: str, amounts: dict[str, tuple[str, int]], until: int = 0) -> DataFrame:
