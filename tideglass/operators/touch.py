@@ -105,6 +105,22 @@ def base_rates(u: DataFrame, cutoff: int) -> DataFrame:
     return u.where(F.col("resolve") < cutoff).groupBy("horizon_d", "direction", "z").agg(F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
+def base_rates_by_fold(u: DataFrame, fold_h: int) -> DataFrame:
+    """Share of touches by horizon, direction and distance among what was resolved before each fold began, as the
+    walk-forward has it; the rows without a fold are over all contracts. Folds before anything is resolved give no row.
+
+    Contracts are counted once by fold and by the first fold that knows them; every kind is listed in the same folds.
+    """
+    kind = ["horizon_d", "direction", "z"]
+    known = (F.floor(F.col("resolve") / fold_h) + 1).alias("known")
+    g = u.groupBy(*kind, "fold", known).agg(F.sum("label").alias("hits"), F.count(F.lit(1)).alias("c"))
+    # folds are a handful of calendar periods
+    g = g.groupBy(*kind).agg(F.collect_list(F.struct("known", "hits", "c")).alias("parts"), F.collect_set("fold").alias("folds"))
+    g = g.select(*kind, "parts", F.explode(F.array_append("folds", F.lit(None).cast("int"))).alias("fold")).select(*kind, "fold", F.inline("parts"))
+    g = g.where(F.col("fold").isNull() | (F.col("known") <= F.col("fold"))).groupBy("fold", *kind)
+    return g.agg((F.sum("hits") / F.sum("c")).alias("rate"), F.sum("c").alias("n"))
+
+
 def har_rows(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
     """Design and target of the log variance regression, one row per (asset, hour, horizon)."""
     from pyspark.sql import Window

@@ -165,6 +165,15 @@ def base_rates(spark: SparkSession, d: str) -> DataFrame:
     return T.base_rates(T.universe(_grid(spark, d), CFG), 1000).withColumn("rate", F.round("rate", 9))
 
 
+@R.add(
+    f"""with {_UNI}, ct as (select distinct fold from u union all select null) select ct.fold, horizon_d, direction, z, round(avg(label), 9) as rate, count(*) as n
+    from ct join u on ct.fold is null or u.resolve < ct.fold * {CFG.fold_h} group by 1, 2, 3, 4"""
+)
+def base_rates_by_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Base rates at each fold's own cutoff, and over all contracts (fold null)."""
+    return T.base_rates_by_fold(T.universe(_grid(spark, d), CFG), CFG.fold_h).withColumn("rate", F.round("rate", 9))
+
+
 def _touch_sql(sigma: str) -> str:
     b, nu = "(direction * ln(k / s0))", f"(direction * (-{sigma} * {sigma} / 2))"
     root = f"({sigma} * sqrt(t))"
