@@ -1,11 +1,13 @@
 """Whole results where an earlier version left rows out."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
 from tests.test_entry import SF, duck, needs_data, plain  # noqa: F401
 from tests.test_operators import GRID, hours
+from tideglass.operators import simulate as M
 from tideglass.operators import touch as T
 
 CFG = T.TouchConfig(warmup_h=168, horizons_d=(1, 2), z=(0.5, 1.0), fold_h=336, least_train=50)
@@ -30,3 +32,12 @@ def test_base_rates_have_no_constant_cutoff(spark):
 def test_base_rates_by_fold_equals_sql(spark, duck):  # noqa: F811
     a, b = entry.queries()["base_rates_by_fold"](spark, SF).toPandas(), duck.execute(entry.oracle_sql()["base_rates_by_fold"]).df()
     assert len(a) and plain(a) == plain(b)
+
+
+def test_jump_threshold_is_exact_for_many_returns(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.uniform(-1, 1, 120_000), rng.uniform(-8, 8, 80_001)])
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "r": x}))
+    d = np.abs(x - np.median(x))
+    want = int((d > 4.5 * 1.4826 * np.median(d)).sum())
+    assert M.jump_split(df, "k", "r", 1 / 8760).first().jumps == want

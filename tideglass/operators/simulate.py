@@ -111,11 +111,11 @@ def history_touch(returns: DataFrame, key: str, order: str, r: str, steps: int,
 
 
 def jump_split(returns: DataFrame, key: str, r: str, dt_years: float, threshold: float = 4.5) -> DataFrame:
-    """Jump-diffusion parameters per key by a robust threshold: diffusion, jump rate, mean and spread; none under three jumps."""
+    """Jump-diffusion parameters per key by a robust threshold (exact medians): diffusion, jump rate, mean and spread; none under three jumps."""
     rows = returns.where(F.col(r).isNotNull()).select(F.col(key).alias("k"), F.col(r).alias("r"))
-    m = rows.groupBy("k").agg(F.percentile_approx("r", 0.5, 10_000).alias("m"))
+    m = rows.groupBy("k").agg(F.percentile("r", 0.5).alias("m"))
     a = rows.join(m, "k").withColumn("d", F.abs(F.col("r") - F.col("m")))
-    s = a.groupBy("k").agg((F.percentile_approx("d", 0.5, 10_000) * 1.4826).alias("s"))
+    s = a.groupBy("k").agg((F.percentile("d", 0.5) * 1.4826).alias("s"))
     b = a.join(s, "k").withColumn("j", F.col("d") > threshold * F.col("s"))
     g = b.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("j").cast("long")).alias("jumps"), F.stddev_samp(F.when(~F.col("j"), F.col("r"))).alias("calm"), F.stddev_samp("r").alias("all"), F.avg(F.when(F.col("j"), F.col("r"))).alias("mean"), F.stddev_samp(F.when(F.col("j"), F.col("r"))).alias("sd"))
     some = F.col("jumps") >= 3
