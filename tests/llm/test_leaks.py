@@ -52,3 +52,11 @@ def test_finds_whole_partial_and_changed_copies(spark, rows):
 def test_equal_items_each_count():
     index = ItemIndex([(1, ITEM), (2, ITEM), (3, ITEM), (4, ITEM), (5, OTHER)], LeakConfig())
     assert sorted(x[1] for x in index.leaks([ITEM])) == [1, 2, 3, 4]
+
+
+def test_half_copy_before_a_denser_passage_is_found():
+    w = ITEM.split()
+    half, third = " ".join(w[: len(w) * 6 // 10]), " ".join(w[: len(w) // 3])
+    index = ItemIndex([(1, ITEM), (2, OTHER)], LeakConfig())
+    assert [x[1] for x in index.leaks([half])] == [1] and not list(index.leaks([f"{third} {third} {third}"]))
+    assert [x[1] for x in index.leaks([half + " bla" * 200 + f" {third} {third} {third}"])] == [1]

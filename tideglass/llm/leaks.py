@@ -170,13 +170,13 @@ class ItemIndex:
             upto = np.searchsorted(p, p + reach)
             inside = upto - np.arange(len(p))
             best = (0.0, 0.0, 0)
-            done = -1
-            for k in np.argsort(-inside, kind="stable"):  # the densest places first, each stretch of hits once
+            done: list[tuple[int, int]] = []
+            for k in np.argsort(-inside, kind="stable"):  # the densest places first, none whose hits all lie in a stretch compared before
                 if inside[k] < self.need[i]:
                     break
-                if p[k] < done:
+                if any(lo <= k and upto[k] <= hi for lo, hi in done):
                     continue
-                done = p[upto[k] - 1]
+                done.append((k, upto[k]))
                 b = begin[k : upto[k]]
                 lo, hi = max(first[d], b.min() - 5), min(first[d + 1] - PATTERN, b.max() + n + 5)
                 seg = stream[lo:hi]
