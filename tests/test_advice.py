@@ -1,5 +1,7 @@
 """Whole results where an earlier version left rows out."""
 
+import json
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,7 @@ from tests.test_entry import SF, duck, needs_data, plain  # noqa: F401
 from tests.test_operators import GRID, hours
 from tideglass.operators import simulate as M
 from tideglass.operators import touch as T
+from tideglass.operators import unnest as N
 
 CFG = T.TouchConfig(warmup_h=168, horizons_d=(1, 2), z=(0.5, 1.0), fold_h=336, least_train=50)
 
@@ -41,3 +44,34 @@ def test_jump_threshold_is_exact_for_many_returns(spark):
     d = np.abs(x - np.median(x))
     want = int((d > 4.5 * 1.4826 * np.median(d)).sum())
     assert M.jump_split(df, "k", "r", 1 / 8760).first().jumps == want
+
+
+def test_records_deeper_than_the_json_reader():
+    n = 20_000
+    while True:
+        try:
+            json.loads('{"a":' * n + "7" + "}" * n)
+            n *= 2
+        except RecursionError:
+            break
+    deep = '{"a":' * n + "7" + "}" * n
+    for record in (deep, json.dumps(deep), '{"x": ' + json.dumps(deep) + "}"):
+        out = []
+        N.triples(1, record, N.NestConfig(), lambda *r: out.append(r))
+        leaves = [r for r in out if r[-1] == "number"]
+        assert [r[6] for r in leaves] == ["7"] and leaves[0][5].count("a") == n
+    out = []
+    N.triples(1, deep[:-1], N.NestConfig(), lambda *r: out.append(r))
+    assert not out
+
+
+def test_stack_parser_equals_json():
+    good = ['{"a": [1, -2.5e3, "x\\u00e9\\n", null, true, {}], "a": {"b": []}, "": [[], [[false]]]}', " [ ] ", '"s"', "3", "[NaN]", '{"k" : {"l":"m"} , "n":[1 ,2]}']
+    bad = ["", "[", "[1,]", '{"a" 1}', '{"a":1,}', "{1:2}", "[1] 2", '{"a":}', "[1 2]", '["x]', "]", '{"a":[1}']
+    for s in good:
+        assert repr(N._deep(s)) == repr(json.loads(s))
+    for s in bad:
+        with pytest.raises(ValueError):
+            json.loads(s)
+        with pytest.raises(ValueError):
+            N._deep(s)

@@ -22,13 +22,68 @@ class NestConfig:
     refs: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"markets": ("ticker", "id"), "": ("event_ticker", "id")})
 
 
+def _deep(s: str):
+    """json.loads without recursion: open objects and lists wait on a stack, so depth is bounded by memory alone."""
+    space, scalar = json.decoder.WHITESPACE, json.JSONDecoder().raw_decode
+
+    def key(at: int) -> tuple[str, int]:
+        if s[at : at + 1] != '"':
+            raise ValueError("no key")
+        k, at = scalar(s, at)
+        at = space.match(s, at).end()
+        if s[at : at + 1] != ":":
+            raise ValueError("no colon")
+        return k, space.match(s, at + 1).end()
+
+    at, stack = space.match(s, 0).end(), []
+    while True:
+        c = s[at : at + 1]
+        if c == "{" or c == "[":
+            v, at = {} if c == "{" else [], space.match(s, at + 1).end()
+            if s[at : at + 1] != ("}" if c == "{" else "]"):
+                k, at = key(at) if c == "{" else (None, at)
+                stack.append((v, k))
+                continue
+            at += 1
+        else:
+            v, at = scalar(s, at)
+        while True:  # v is complete: into what it stands in, which may be complete by it
+            at = space.match(s, at).end()
+            if not stack:
+                if at < len(s):
+                    raise ValueError("text after the record")
+                return v
+            box, k = stack.pop()
+            c, keyed = s[at : at + 1], isinstance(box, dict)
+            if keyed:
+                box[k] = v
+            else:
+                box.append(v)
+            if c == ",":
+                at = space.match(s, at + 1).end()
+                k, at = key(at) if keyed else (None, at)
+                stack.append((box, k))
+                break
+            if c != ("}" if keyed else "]"):
+                raise ValueError("not closed")
+            v, at = box, at + 1
+
+
+def _parsed(s: str):
+    """The record as a tree: by json.loads, or where that would nest too deep, by a stack. Of equal keys the last holds."""
+    try:
+        return json.loads(s)
+    except RecursionError:
+        return _deep(s)
+
+
 def _embedded(s: str):
     """The JSON in a string, if it is one that holds objects; else None."""
     t = s.lstrip()
     if t[:1] not in ("{", "[", '"'):
         return None
     try:
-        j = json.loads(t)
+        j = _parsed(t)
     except ValueError:
         return None
     if isinstance(j, str):
@@ -42,15 +97,16 @@ def _text(v) -> str:
 
 def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
     """Emit (doc, grp, node, parent, ord, name, value, kind) for every leaf of a record, and a row of kind 'node' for
-    every object or item of a repeated list. A stack replaces recursion, so depth is bounded by memory alone.
+    every object or item of a repeated list. The record is parsed as a whole, then walked; a stack replaces recursion in
+    both, so depth is bounded by memory alone (paths grow with it).
 
     grp: path with ordinals left out, down to the nearest repeated ancestor. node, parent: paths with ordinals of that
     ancestor and of the one above it. ord: place in its list. name: path of the leaf below the node. The reference of
     the nearest ancestor object that has one comes with every node as '^ref'.
     """
     try:
-        root = json.loads(record)
-    except (ValueError, RecursionError):
+        root = _parsed(record)
+    except ValueError:
         return
     if isinstance(root, str):
         root = _embedded(root)
@@ -91,7 +147,7 @@ def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
 def to_triples(df: DataFrame, id_col: str, text_col: str, cfg: NestConfig = NestConfig(), keep: tuple[str, ...] | None = None) -> DataFrame:
     """The triples of all records. keep: only groups whose last repeated ancestor has one of these names.
 
-    Null ids and null, broken, incomplete or empty texts give none, nor does one nested deeper than the JSON reader goes; text that is JSON within a JSON string is taken
+    Null ids and null, broken, incomplete or empty texts give none; text that is JSON within a JSON string is taken
     apart too (also whole records). A repeated record gives its triples again; pivots and references count them once.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("t"))
