@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.test_entry import SF, duck, needs_data, plain  # noqa: F401
 from tests.test_operators import GRID, hours
+from tideglass.operators import pairs as P
 from tideglass.operators import simulate as M
 from tideglass.operators import touch as T
 from tideglass.operators import unnest as N
@@ -75,3 +76,16 @@ def test_stack_parser_equals_json():
             json.loads(s)
         with pytest.raises(ValueError):
             N._deep(s)
+
+
+@needs_data
+def test_pair_scan_takes_every_pair(spark):
+    from tideglass.plans.pairs import _hours, _rows
+
+    d = SF.replace("sf0.001", "sf0.01")  # the smallest tables have two assets
+    names = sorted(r[0] for r in _hours(spark, d).groupBy("asset").count().collect())
+    got = entry.queries()["pair_scan"](spark, d).toPandas()
+    assert len(names) > 2 and set(got["pair"]) == {f"{a}-{b}" for k, a in enumerate(names) for b in names[k + 1 :]}
+    near = P.scan(_rows(spark, d), 120, 12).toPandas().sort_values(["pair", "start"])
+    same = P.scan_all(_hours(spark, d), 120, 12).toPandas().sort_values(["pair", "start"])
+    pd.testing.assert_frame_equal(same[same["pair"].isin(near["pair"])].reset_index(drop=True), near.reset_index(drop=True))

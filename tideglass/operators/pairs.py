@@ -234,22 +234,44 @@ def sample_windows(n: int, length: int, count: int, seed: int | None) -> list[tu
     return [(int(s), int(s) + length) for s in sorted(starts)]
 
 
+SCANNED = [KEY, "start", "stat", "pvalue"]
+
+
 def scan(rows: DataFrame, length: int, count: int, seed: int = 0) -> DataFrame:
     """pair, start, stat, pvalue: the test over random windows of each pair, drawn with a seed of the pair's own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("i")
-        name = pdf[KEY].iloc[0]
-        a, b = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float)
-        if len(a) <= length:
-            return pd.DataFrame({KEY: [], "start": [], "stat": [], "pvalue": []})
-        own = seed + sum(map(ord, name))
-        got = [(name, s, *engle_granger(a[s:e], b[s:e])) for s, e in sample_windows(len(a), length, count, own)]
-        return pd.DataFrame(got, columns=[KEY, "start", "stat", "pvalue"])
+        return pd.DataFrame(_scanned(pdf[KEY].iloc[0], pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), length, count, seed), columns=SCANNED)
 
     return rows.groupBy(KEY).applyInPandas(run, f"{KEY} string, start long, stat double, pvalue double")
 
 
+def _scanned(name: str, a: np.ndarray, b: np.ndarray, length: int, count: int, seed: int) -> list[tuple]:
+    if len(a) <= length:
+        return []
+    own = seed + sum(map(ord, name))
+    return [(name, s, *engle_granger(a[s:e], b[s:e])) for s, e in sample_windows(len(a), length, count, own)]
+
+
+def scan_all(hours: DataFrame, length: int, count: int, seed: int = 0) -> DataFrame:
+    """scan over every pair of assets a < b. An asset's closes travel as one row, so only assets meet, not their hours."""
+    series = hours.where("asset is not null and close is not null").groupBy("asset").agg(F.array_sort(F.collect_list(F.struct("bar", "close"))).alias("x"))
+    of = lambda s: series.select(F.col("asset").alias(f"asset_{s}"), F.col("x.bar").cast("array<long>").alias(f"bar_{s}"), F.col("x.close").alias(f"close_{s}"))
+    parts = 4 * hours.sparkSession.sparkContext.defaultParallelism
+    pairs = of("a").repartition(parts, "asset_a").join(of("b"), F.col("asset_a") < F.col("asset_b"))
+
+    def run(it):
+        for pdf in it:
+            got = []
+            for r in pdf.itertuples(index=False):
+                _, i, j = np.intersect1d(r.bar_a, r.bar_b, assume_unique=True, return_indices=True)
+                got += _scanned(f"{r.asset_a}-{r.asset_b}", np.asarray(r.close_a, float)[i], np.asarray(r.close_b, float)[j], length, count, seed)
+            yield pd.DataFrame(got, columns=SCANNED)
+
+    return pairs.mapInPandas(run, f"{KEY} string, start long, stat double, pvalue double")
+
+
 def scan_summary(found: DataFrame, alpha: float = 0.05) -> DataFrame:
     return found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.avg("pvalue").alias("mean_p"), F.median("pvalue").alias("median_p"), F.avg((F.col("pvalue") < alpha).cast("double")).alias("significant"), F.avg("stat").alias("mean_stat"))
 

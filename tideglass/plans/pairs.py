@@ -120,14 +120,14 @@ def kalman_hedge(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def pair_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Cointegration over random windows of each pair."""
-    s = P.scan(_rows(spark, d), 120, 12)
+    """Cointegration over random windows of every pair of assets."""
+    s = P.scan_all(_hours(spark, d), 120, 12)
     return s.select("pair", "start", F.round("stat", 5).alias("stat"), F.round("pvalue", 6).alias("pvalue"))
 
 
 @R.add()
 def pair_scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = P.scan_summary(P.scan(_rows(spark, d), 120, 12))
+    s = P.scan_summary(P.scan_all(_hours(spark, d), 120, 12))
     return s.select("pair", "n", *[F.round(c, 6).alias(c) for c in ("mean_p", "median_p", "significant", "mean_stat")])
 
 
