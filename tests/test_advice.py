@@ -89,3 +89,15 @@ def test_pair_scan_takes_every_pair(spark):
     near = P.scan(_rows(spark, d), 120, 12).toPandas().sort_values(["pair", "start"])
     same = P.scan_all(_hours(spark, d), 120, 12).toPandas().sort_values(["pair", "start"])
     pd.testing.assert_frame_equal(same[same["pair"].isin(near["pair"])].reset_index(drop=True), near.reset_index(drop=True))
+
+
+@needs_data
+def test_touch_by_paths_at_each_assets_volatility(spark):
+    from tideglass.plans.studies import _hourly_returns
+
+    r = _hourly_returns(spark, SF).toPandas().groupby("asset")["r"].std() * 8760**0.5
+    got = entry.queries()["touch_by_paths"](spark, SF).toPandas()
+    assert sorted(zip(got["asset"], got["kind"])) == sorted((a, k) for a in r.index for k in ("gbm", "merton"))
+    assert np.allclose(got["sigma"], r[got["asset"]])
+    g = got[got["kind"] == "gbm"]
+    assert (g["n"] == 40_000).all() and (abs(g["probability"] - g["closed_form"]) < 4 * g["se"] + 1e-9).all()

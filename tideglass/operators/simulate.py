@@ -81,6 +81,30 @@ def touch_by_paths(spark: SparkSession, paths: int, steps: int, t: float, sigma:
     return g.select("n", mean.alias("probability"), F.sqrt(F.greatest((F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)) / F.col("n")).alias("se"), (F.col("e") / F.col("n")).alias("ended"))
 
 
+def touch_by_paths_each(sigmas: DataFrame, key: str, sigma: str, paths: int, steps: int, t: float, barrier: float, chunk: int = 20_000, kind: str = "gbm", **more) -> DataFrame:
+    """key, sigma, n, probability, se, ended: touch_by_paths at the volatility of each row; a chunk has the same seed for every key."""
+    make = {"gbm": gbm_steps, "merton": merton_steps}[kind]
+    rows = sigmas.select(F.col(key).cast("string").alias("k"), F.col(sigma).cast("double").alias("sigma")).where("sigma > 0")
+    chunks = [F.lit(i) for i in range(-(-paths // chunk))]
+    rows = rows.withColumn("chunk", F.explode(F.array(*chunks))).repartition(4 * sigmas.sparkSession.sparkContext.defaultParallelism, "k", "chunk")
+    sign = 1.0 if barrier >= 0 else -1.0
+
+    def run(it):
+        for pdf in it:
+            got = []
+            for r in pdf.itertuples(index=False):
+                n = min(chunk, paths - r.chunk * chunk)
+                dx, var = make(np.random.default_rng([int(r.chunk), 20_240_101]), n, steps, t, r.sigma, **more)
+                p = bridge_touch(sign * dx, var, abs(barrier))
+                got.append((r.k, r.sigma, n, p.sum(), (p * p).sum(), float((sign * dx.sum(axis=1) >= abs(barrier)).sum())))
+            yield pd.DataFrame(got, columns=["k", "sigma", "n", "s", "ss", "e"])
+
+    g = rows.mapInPandas(run, "k string, sigma double, n long, s double, ss double, e double").groupBy("k", "sigma").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss", "e")])
+    mean = F.col("s") / F.col("n")
+    se = F.sqrt(F.greatest((F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)) / F.col("n"))
+    return g.select(F.col("k").alias(key), "sigma", "n", mean.alias("probability"), se.alias("se"), (F.col("e") / F.col("n")).alias("ended"))
+
+
 def first_exit_by_paths(spark: SparkSession, paths: int, steps: int, t: float, sigma: float, lower: float, upper: float, chunk: int = 20_000) -> DataFrame:
     """Shares of paths that leave a log corridor above, below, or not at all."""
 

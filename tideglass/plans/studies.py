@@ -10,8 +10,9 @@ from tideglass.operators import event_study as E
 from tideglass.operators import quotes as Q
 from tideglass.operators import simulate as M
 from tideglass.operators.bars import resample
+from tideglass.operators.touch import with_touch
 from tideglass.plans.registry import Registry
-from tideglass.session import table
+from tideglass.session import stored, table
 from tideglass.sources.adapters import CANDLES_SQL, TICKS_SQL, candles, forecasts, markets, ticks
 
 R = Registry()
@@ -118,11 +119,14 @@ def variance_belief(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def touch_by_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Bridge-corrected simulation at the volatility of the table's first asset against the closed form."""
-    sigma = 0.6
-    p = M.touch_by_paths(spark, 40_000, 48, 7 / 365, sigma, 0.05)
-    j = M.touch_by_paths(spark, 40_000, 48, 7 / 365, sigma, 0.05, kind="merton", rate=20.0, jump_mean=0.0, jump_sd=0.03)
-    return p.withColumn("kind", F.lit("gbm")).unionByName(j.withColumn("kind", F.lit("merton")))
+    """Bridge-corrected simulation at each asset's volatility of hourly returns beside the closed form (without jumps) for it."""
+    t, barrier = 7 / 365, 0.05
+    v = stored(_hourly_returns(spark, d).groupBy("asset").agg((F.stddev_samp("r") * F.sqrt(F.lit(8760.0))).alias("sigma")), "volatilities")
+    p = M.touch_by_paths_each(v, "asset", "sigma", 40_000, 48, t, barrier)
+    j = M.touch_by_paths_each(v, "asset", "sigma", 40_000, 48, t, barrier, kind="merton", rate=20.0, jump_mean=0.0, jump_sd=0.03)
+    both = p.withColumn("kind", F.lit("gbm")).unionByName(j.withColumn("kind", F.lit("merton")))
+    at = both.withColumns({"s0": F.lit(1.0), "k": F.exp(F.lit(barrier)), "t": F.lit(t), "direction": F.lit(1)})
+    return with_touch(at, {"closed_form": F.col("sigma")}).drop("s0", "k", "t", "direction")
 
 
 @R.add()
