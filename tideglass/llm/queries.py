@@ -14,6 +14,10 @@ from tideglass.session import broadcast_if_small, table
 
 R = Registry()
 
+#: Names of the desk's projects and books, which read as names of persons do. TESTDATA.md rules them out as
+#: cases, and nothing in a text tells them apart; a user gives the names of their own house here.
+PROJECTS = ("Pewter Sable", "Port Ravel", "Umber Lathe", "Brindle North", "Juniper Wicket", "Ellerby Coldwater", "Upper Mottram", "Old Thistle", "Saltmarsh")
+
 _P3 = """
     with m as (select market_id, arg_max(asset, ingested_at) as asset from market where asset is not null group by 1),
     s as (select distinct snapshot_id, asset, epoch_us(ts) as us from market_snapshot join m using (market_id)),
@@ -69,10 +73,10 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return find_personal(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+    return find_personal(table(spark, d, "documents"), "doc_id", "text", register=PROJECTS).select("doc_id", "kind", "start_pos")
 
 
 @R.add()
 def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document with typed placeholders."""
-    return redact(table(spark, d, "documents"), "doc_id", "text")
+    return redact(table(spark, d, "documents"), "doc_id", "text", register=PROJECTS)
