@@ -1,6 +1,10 @@
+import os
+import random
+
 import numpy as np
+import pytest
 
-from tideglass.llm.leaks import PATTERN, ItemIndex, LeakConfig, WuManber, find_leaks, in_order, words
+from tideglass.llm.leaks import PATTERN, ItemIndex, LeakConfig, WuManber, find_leaks, in_order, most_in_order, words
 
 ITEM = "Given that the barrier moved up 60 ticks with 546 contracts still open, what must the Orrin study do with the remaining 87 unpaired legs so that the touch frequency stays above 0.997?"
 OTHER = "Which page of the Thistle book first admits that the test fold borrowed 63 rows of the 757 used for fitting, and how were the strike buckets relabelled?"
@@ -13,10 +17,10 @@ def test_words_drop_what_does_not_matter():
 
 def test_wu_manber_equals_plain_search():
     rng = np.random.default_rng(5)
-    ids = rng.integers(0, 6, 3000).astype(np.int32)
-    patterns = np.unique(rng.integers(0, 6, (40, PATTERN)), axis=0).astype(np.int32)
+    ids = rng.integers(0, 7, 3000).astype(np.int32)
+    patterns = np.unique(rng.integers(1, 7, (12, PATTERN)), axis=0).astype(np.int32)
     for lanes in (1, 7, 64, 4096):
-        where, which = WuManber(patterns).search(ids, lanes)
+        where, which = WuManber(patterns, 6).search(ids, lanes)
         got = sorted(zip(where.tolist(), which.tolist()))
         want = sorted((p, k) for k, x in enumerate(patterns) for p in range(len(ids) - PATTERN + 1) if (ids[p : p + PATTERN] == x).all())
         assert got == want
@@ -24,8 +28,17 @@ def test_wu_manber_equals_plain_search():
 
 def test_in_order_is_the_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 4]), np.array([9, 1, 3, 9, 2, 4])
-    assert in_order(a, b, np.ones(4)) == 3
-    assert in_order(a, np.array([], int), np.ones(4)) == 0
+    mine, places = in_order(a, b)
+    assert len(mine) == most_in_order(a, b) == 3 and (a[mine] == b[places]).all() and (np.diff(places) > 0).all()
+    assert most_in_order(a, np.array([], int)) == 0 == len(in_order(a, np.array([], int))[0])
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = rng.integers(0, 5, 12), rng.integers(0, 5, 20)
+        best = np.zeros((13, 21), int)
+        for i in range(12):
+            for j in range(20):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        assert best[-1, -1] == most_in_order(a, b) == len(in_order(a, b)[0])
 
 
 def test_finds_whole_partial_and_changed_copies(spark, rows):
@@ -51,12 +64,55 @@ def test_finds_whole_partial_and_changed_copies(spark, rows):
 
 def test_equal_items_each_count():
     index = ItemIndex([(1, ITEM), (2, ITEM), (3, ITEM), (4, ITEM), (5, OTHER)], LeakConfig())
-    assert sorted(x[1] for x in index.leaks([ITEM])) == [1, 2, 3, 4]
+    assert sorted(x[1] for x in index.leaks([words(ITEM)])) == [1, 2, 3, 4]
 
 
 def test_half_copy_before_a_denser_passage_is_found():
     w = ITEM.split()
     half, third = " ".join(w[: len(w) * 6 // 10]), " ".join(w[: len(w) // 3])
     index = ItemIndex([(1, ITEM), (2, OTHER)], LeakConfig())
-    assert [x[1] for x in index.leaks([half])] == [1] and not list(index.leaks([f"{third} {third} {third}"]))
-    assert [x[1] for x in index.leaks([half + " bla" * 200 + f" {third} {third} {third}"])] == [1]
+    assert [x[1] for x in index.leaks([words(half)])] == [1] and not list(index.leaks([words(f"{third} {third} {third}")]))
+    assert [x[1] for x in index.leaks([words(half + " bla" * 200 + f" {third} {third} {third}")])] == [1]
+
+
+def test_items_of_one_pattern_do_not_stand_in_for_each_other():
+    one = "Who signed off the idle rows in the first study on day 46, given the fit was renewed every 59 days on 755 closes and a reject share no better than 0.813?"
+    two = "Who signed off the late fills in the second index on day 19, given the fit was renewed every 24 days on 847 closes and a ceiling rate no better than 0.984?"
+    index = ItemIndex([(1, one), (2, two), (3, ITEM), (4, OTHER)], LeakConfig())
+    assert [x[1] for x in index.leaks([words(one)])] == [1]
+    assert sorted(x[1] for x in index.leaks([words(one + " and then " + two)])) == [1, 2]
+    near = one.replace("46", "47")  # nearly the same item: both leak
+    index = ItemIndex([(1, one), (2, near), (3, ITEM), (4, OTHER)], LeakConfig())
+    assert sorted(x[1] for x in index.leaks([words(one)])) == [1, 2]
+
+
+ITEMS = "/root/testdata/sf0.01/eval_item.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(ITEMS), reason="no test tables here")
+def test_recall_by_edit():
+    """Every item planted once for each way of changing it, between other text."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(ITEMS)
+    items = list(zip(t["item_id"].to_pylist(), t["text"].to_pylist()))
+    index = ItemIndex(items, LeakConfig())
+    r, fill = random.Random(5), "report series window quarter harvest engine".split()
+
+    def edits(w):
+        yield "whole", w
+        yield "first 55 %", w[: int(len(w) * 0.55) + 1]
+        yield "last 55 %", w[-int(len(w) * 0.55) - 1 :]
+        for k in (3, 4):
+            yield f"each {k} changed", [r.choice(fill) if j % k == 1 else x for j, x in enumerate(w)]
+            yield f"each {k} dropped", [x for j, x in enumerate(w) if j % k != 1]
+
+    texts, keys = [], []
+    for i, text in items:
+        for name, w in edits(text.split()):
+            texts.append(" ".join(["The harvest was early this year and the engine ran."] + w + ["Another window of the series follows here."]))
+            keys.append((name, i))
+    got = {(n, i) for n, i, *_ in index.leaks([words(x) for x in texts])}
+    for name in {k for k, _ in keys}:
+        mine = [n for n, k in enumerate(keys) if k[0] == name]
+        assert sum((n, keys[n][1]) in got for n in mine) / len(mine) >= 0.97, name

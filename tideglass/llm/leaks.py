@@ -43,28 +43,30 @@ def words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LeakConfig:
-    """share: of the item's words, in order and close together; weight: the same with words weighted by rarity among the
-    items; hits: distinctive patterns that must occur close together; spread: how far a copy may be drawn out, in item
-    lengths; lanes: text streams searched in step."""
+    """share: of the item's words, in order and close together. weight: where another item explains the same passage better,
+    the share of the item's words weighted by rarity among the items that it must have to count beside it. hits: distinctive
+    word pairs that must occur close together before the words are compared. spread: how far a copy may be drawn out, in
+    item lengths. lanes: text streams searched in step."""
 
     share: float = 0.5
-    weight: float = 0.45
-    hits: int = 5
+    weight: float = 0.53
+    hits: int = 4
     spread: float = 1.5
     lanes: int = 4096
 
 
-PATTERN, BLOCK = 3, 2
+PATTERN, BLOCK = 2, 1
 
 
 class WuManber:
-    """Patterns of three words over a stream of word ids: block shifts, suffix-hash buckets, direct comparison."""
+    """Patterns of two words over a stream of word ids: block shifts, suffix-hash buckets, direct comparison. A block is one
+    word: copies of which every third word was changed keep no longer stretch in common."""
 
-    def __init__(self, patterns: np.ndarray, bits: int = 16) -> None:
+    def __init__(self, patterns: np.ndarray, words: int, bits: int = 16) -> None:
         self.mask = (1 << bits) - 1
-        self.shift = np.full(1 << bits, PATTERN - BLOCK + 1, np.int64)
+        self.shift = np.full(words + 1, PATTERN - BLOCK + 1, np.int64)
         for j in range(PATTERN - BLOCK + 1):
-            np.minimum.at(self.shift, self._hash(patterns[:, j], patterns[:, j + 1]), PATTERN - BLOCK - j)
+            np.minimum.at(self.shift, patterns[:, j], PATTERN - BLOCK - j)
         suffix = self._hash(patterns[:, PATTERN - 2], patterns[:, PATTERN - 1])
         self.order = np.argsort(suffix, kind="stable")
         self.patterns = patterns
@@ -86,7 +88,7 @@ class WuManber:
         keep = pos < end
         pos, end = pos[keep], end[keep]
         while len(pos):
-            step = self.shift[self._hash(ids[pos + PATTERN - 2], ids[pos + PATTERN - 1])]
+            step = self.shift[ids[pos + PATTERN - BLOCK]]
             stop = step == 0
             if stop.any():
                 found.append(pos[stop])
@@ -105,14 +107,30 @@ class WuManber:
         return where[same], which[same]
 
 
-def in_order(item: np.ndarray, seg: np.ndarray, weight: np.ndarray) -> float:
-    """Largest weight of words that item and segment have in the same order (weighted longest common subsequence)."""
-    best = np.zeros(len(seg) + 1)
-    for w, x in zip(item, weight):
-        if w:
-            take = np.where(seg == w, best[:-1] + x, 0.0)
-            best[1:] = np.maximum.accumulate(np.maximum(best[1:], take))
-    return float(best[-1])
+def in_order(item: np.ndarray, seg: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest common subsequence of item and segment: which words of the item it has, and where in the segment."""
+    best = np.zeros((len(item) + 1, len(seg) + 1), np.int32)
+    for k, w in enumerate(item):
+        best[k + 1] = np.maximum.accumulate(np.maximum(best[k], np.concatenate([[0], np.where(seg == w, best[k, :-1] + 1, 0)])))
+    k, j, words, places = len(item), len(seg), [], []
+    while k and j:
+        if best[k, j] == best[k - 1, j]:
+            k -= 1
+        elif best[k, j] == best[k, j - 1]:
+            j -= 1
+        else:
+            k, j = k - 1, j - 1
+            words.append(k)
+            places.append(j)
+    return np.array(words[::-1], np.int64), np.array(places[::-1], np.int64)
+
+
+def most_in_order(item: np.ndarray, seg: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    best = np.zeros(len(seg) + 1, np.int32)
+    for w in item:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(seg == w, best[:-1] + 1, 0)))
+    return int(best[-1])
 
 
 class ItemIndex:
@@ -121,80 +139,112 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]], cfg: LeakConfig) -> None:
         self.cfg = cfg
         text = {i: words(t) for i, t in items}
-        text = {i: w for i, w in text.items() if len(w) >= PATTERN}
+        text = {i: w for i, w in text.items() if len(w) >= 3}
         self.vocab: dict[str, int] = {}
         self.items = {i: np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int32) for i, w in text.items()}
+        self.bags = [np.unique(a, return_counts=True) for a in self.items.values()]
+        self.ids = np.array(list(self.items), np.int64)
         distinct = {tuple(a.tolist()) for a in self.items.values()}
         df = Counter(w for a in distinct for w in set(a))
-        tri = Counter(g for a in distinct for g in {a[k : k + PATTERN] for k in range(len(a) - PATTERN + 1)})
+        pairs = Counter(g for a in distinct for g in set(zip(a, a[1:])))
         rarity = np.zeros(len(self.vocab) + 1)
         for w, c in df.items():
             rarity[w] = np.log((1 + len(distinct)) / c)
         self.weight = {i: rarity[a] for i, a in self.items.items()}
         owners: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        self.need = {}
-        for i, a in self.items.items():
-            grams = {tuple(a[k : k + PATTERN].tolist()) for k in range(len(a) - PATTERN + 1)}
-            most = max(2, sorted(tri[g] for g in grams)[len(grams) // 4])
-            mine = [g for g in grams if tri[g] <= most]
-            self.need[i] = max(1, min(cfg.hits, len(mine) // 3))
-            at = {tuple(a[k : k + PATTERN].tolist()): k for k in range(len(a) - PATTERN, -1, -1)}
+        need = []
+        for n, a in enumerate(self.items.values()):
+            a = a.tolist()
+            at = {g: k for k, g in reversed(list(enumerate(zip(a, a[1:]))))}
+            most = max(2, sorted(pairs[g] for g in at)[len(at) // 2])
+            mine = [g for g in at if pairs[g] <= most]
+            need.append(max(1, min(cfg.hits, len(mine) // 4)))
             for g in mine:
-                owners[g].append((i, at[g]))
-        self.owners = list(owners.values())
-        self.wm = WuManber(np.array(list(owners), np.int32).reshape(-1, PATTERN))
+                owners[g].append((n, at[g]))
+        self.need = np.array(need, np.int64)
+        self.wm = WuManber(np.array(list(owners), np.int32).reshape(-1, PATTERN), len(self.vocab))
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in owners.values()])]).astype(np.int64)
+        self.owner, self.owned_at = (np.array([o[k] for x in owners.values() for o in x], np.int64) for k in (0, 1))
 
-    def leaks(self, texts: list[str]) -> Iterator[tuple[int, int, float, float, int]]:
-        """(text number, item, share, weighted share, word position) of every leak."""
+    def passages(self, stream: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Document, item, begin and end of the stretches to compare: those with enough hits close together."""
+        where, which = self.wm.search(stream, self.cfg.lanes)
+        many = self.first[which + 1] - self.first[which]
+        row = np.repeat(np.arange(len(which)), many)
+        own = self.first[which][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        doc, item, pos, at = np.searchsorted(first, where, side="right")[row] - 1, self.owner[own], where[row], self.owned_at[own]
+        by = np.lexsort((pos, item, doc))
+        doc, item, pos, at = doc[by], item[by], pos[by], at[by]
+        lengths = np.array([len(a) for a in self.items.values()], np.int64)
+        # hits within reach of each hit, of the same document and item
+        reach = (self.cfg.spread * lengths[item]).astype(np.int64) + 20 if len(item) else item
+        group = np.cumsum(np.concatenate([[0], (np.diff(doc) != 0) | (np.diff(item) != 0)])) if len(doc) else doc
+        key = group * (len(stream) + 1) + pos
+        last = np.searchsorted(group * (len(stream) + 1), (group + 1) * (len(stream) + 1)) if len(group) else group
+        upto = np.minimum(np.searchsorted(key, key + reach), last)
+        enough = upto - np.arange(len(pos)) >= self.need[item]
+        begin = pos - at
+        done_group, done_hi = -1, -1
+        for k in np.flatnonzero(enough).tolist():
+            if group[k] == done_group and upto[k] <= done_hi:
+                continue  # all its hits lie in the stretch before
+            done_group, done_hi = group[k], upto[k]
+            b, n, d = begin[k : upto[k]], lengths[item[k]], doc[k]
+            yield int(d), int(item[k]), int(max(first[d], b.min() - 5)), int(min(first[d + 1] - PATTERN, b.max() + n + 5))
+
+    def leaks(self, split: list[list[str]]) -> Iterator[tuple[int, int, float, float, int]]:
+        """(text number, item, share, weighted share, word position) of every leak in texts that are split into words."""
         get, gap = self.vocab.get, [0] * PATTERN
         ids: list[int] = []
         starts = []
-        for t in texts:
+        for t in split:
             starts.append(len(ids))
-            ids.extend([get(w, 0) for w in words(t)])
+            ids.extend([get(w, 0) for w in t])
             ids.extend(gap)
         stream = np.array(ids, np.int32)
-        where, which = self.wm.search(stream, self.cfg.lanes)
         first = np.array(starts + [len(ids)])
-        doc = np.searchsorted(first, where, side="right") - 1
-        hits: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for d, p, k in zip(doc.tolist(), where.tolist(), which.tolist()):
-            for i, at in self.owners[k]:
-                hits[d, i].append((p, p - at))
-        for (d, i), ps in hits.items():
-            if len(ps) < self.need[i]:
+        found: dict[int, list] = defaultdict(list)
+        for d, k, lo, hi in self.passages(stream, first):
+            i = int(self.ids[k])
+            a, w, seg = self.items[i], self.weight[i], stream[lo:hi]
+            if self.shared(k, seg) < self.cfg.share * len(a):
                 continue
-            a, w = self.items[i], self.weight[i]
-            n, reach = len(a), int(self.cfg.spread * len(a)) + 20
-            p, begin = np.array(sorted(set(ps))).T
-            upto = np.searchsorted(p, p + reach)
-            inside = upto - np.arange(len(p))
-            best = (0.0, 0.0, 0)
-            done: list[tuple[int, int]] = []
-            for k in np.argsort(-inside, kind="stable"):  # the densest places first, none whose hits all lie in a stretch compared before
-                if inside[k] < self.need[i]:
-                    break
-                if any(lo <= k and upto[k] <= hi for lo, hi in done):
+            if most_in_order(a, seg) >= self.cfg.share * len(a):
+                mine, places = in_order(a, seg)
+                found[d].append((len(mine) / len(a), float(w[mine].sum() / max(w.sum(), 1e-9)), i, places + lo, mine))
+        for d, got in found.items():
+            best: dict[int, tuple[float, float, int]] = {}
+            for share, weighted, i, places, mine in got:
+                if weighted < self.cfg.weight and self._explained(share, i, places, got):
                     continue
-                done.append((k, upto[k]))
-                b = begin[k : upto[k]]
-                lo, hi = max(first[d], b.min() - 5), min(first[d + 1] - PATTERN, b.max() + n + 5)
-                seg = stream[lo:hi]
-                share = in_order(a, seg, np.ones(n)) / n
-                if share >= self.cfg.share:
-                    best = max(best, (share, in_order(a, seg, w) / max(w.sum(), 1e-9), int(p[k] - first[d])))
-                    if share > 0.9:
-                        break
-            if best[0] >= self.cfg.share and best[1] >= self.cfg.weight:
-                yield d, i, best[0], best[1], best[2]
+                if i not in best or best[i][:2] < (share, weighted):
+                    best[i] = (share, weighted, int(places[0] - first[d]))
+            for i, (share, weighted, at) in best.items():
+                yield d, i, share, weighted, at
+
+    def shared(self, k: int, seg: np.ndarray) -> int:
+        """Words that item and segment have in common in any order: no fewer than those in the same order."""
+        mine, often = self.bags[k]
+        at = np.searchsorted(mine, seg)
+        at = at[mine[np.minimum(at, len(mine) - 1)] == seg]
+        return int(np.minimum(np.bincount(at, minlength=len(mine)), often).sum())
+
+    def _explained(self, share: float, i: int, places: np.ndarray, got: list) -> bool:
+        """Whether other items that have a larger share of theirs in the same passage leave less than half of the item."""
+        left = np.ones(len(places), bool)
+        for s, _, j, p, _ in got:
+            if s > share and j != i:
+                left &= ~np.isin(places, p)
+        return left.sum() < self.cfg.share * len(self.items[i])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, item_id: str, item_text: str, cfg: LeakConfig = LeakConfig(), block: int = 20_000) -> DataFrame:
     """doc id, item id, share, weighted, word: documents that repeat at least half of an item's words in order.
 
     The items are the stated query set: they are held in memory in blocks of at most ``block`` items (by hash of the id,
-    as many blocks as the counted rows need), and every document is searched against every block where it lies. Nothing
-    is shuffled.
+    as many blocks as the counted rows need). Every document is read and split once and searched against every block where
+    it lies. Nothing is shuffled. An item whose words in a passage are explained by another item that has more of its own
+    there counts only if it also has ``weight`` of its words by rarity: items made after one pattern share many words.
 
     Null ids or texts on either side give no rows, nor do items of under three words and empty texts. Repeated documents
     each count under their own id; equal items each count; repeats of a pair come once per document row. Texts are
@@ -203,20 +253,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     clean = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).distinct()
     blocks = max(1, -(-clean.count() // block))
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("d"), F.col(doc_text).cast("string").alias("t"))
-    out = None
-    for k in range(blocks):
-        part = clean.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t")
-        held = docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()])
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(held.value, cfg)
-            for b in batches:
-                d, texts = b["d"].to_pylist(), b["t"].to_pylist()
-                got = [(d[lo + j], i, s, w, p) for lo, hi in by_chars(texts, 4_000_000) for j, i, s, w, p in index.leaks(texts[lo:hi])]
-                if got:
-                    types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*got), types)], names=["d", "i", "share", "weighted", "word"])
-
-        found = rows.mapInArrow(run, "d long, i long, share double, weighted double, word long")
-        out = found if out is None else out.unionByName(found)
+    parts = [clean.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t") for k in range(blocks)]
+    held = [docs.sparkSession.sparkContext.broadcast([(r["i"], r["t"]) for r in part.toLocalIterator()]) for part in parts]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [ItemIndex(h.value, cfg) for h in held]
+        for b in batches:
+            d, texts = b["d"].to_pylist(), b["t"].to_pylist()
+            got = []
+            for lo, hi in by_chars(texts, 4_000_000):
+                split = [words(t) for t in texts[lo:hi]]
+                got += [(d[lo + j], i, s, w, p) for index in indexes for j, i, s, w, p in index.leaks(split)]
+            if got:
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*got), types)], names=["d", "i", "share", "weighted", "word"])
+
+    out = rows.mapInArrow(run, "d long, i long, share double, weighted double, word long")
     return out.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "share", "weighted", "word")
