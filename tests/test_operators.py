@@ -249,8 +249,17 @@ def test_scores(spark):
 
 def test_quotes(spark, rows):
     q = [0.0035, 0.0055, 0.435, 0.555, 0.0085]
-    for p in (Q.power_probabilities(q), Q.shin_probabilities(q)[0]):
+    o = [("e", str(i), x) for i, x in enumerate(q)] + [("f", "0", 0.2), ("f", "1", 0.3), ("g", "0", None), ("h", "0", 1.0), ("h", "1", 0.5)]
+    n = Q.normalise(spark.createDataFrame(o, "e string, o string, q double"), "e", "o", "q").orderBy("e", "o").toPandas().set_index("e")
+    for p in (n.loc["e", "power"].to_numpy(), n.loc["e", "shin"].to_numpy()):
         assert p.sum() == pytest.approx(1) and (np.diff(p)[[1, 2]] > 0).all()
+    k = np.log(n.loc["e", "power"].to_numpy()) / np.log(q)
+    assert np.allclose(k, k[0]) and 0 < n.loc["e", "insider"].iloc[0] < 0.1
+    assert n.loc["f", "power"].tolist() == n.loc["f", "shin"].tolist() == pytest.approx([0.4, 0.6]) and np.isnan(n.loc["g", "power"])
+    assert n.loc["h", "power"].tolist() == pytest.approx([2 / 3, 1 / 3]) and n.loc["h", "shin"].sum() == pytest.approx(1)
+    v = np.random.default_rng(1).random(9)
+    fit = Q.isotonic_decreasing(v)
+    assert (np.diff(fit) <= 1e-12).all() and all(np.mean(v[fit == x]) == pytest.approx(x) for x in set(fit.tolist()))
     assert np.allclose(Q.isotonic_decreasing([0.9, 0.5, 0.6, 0.1]), [0.9, 0.55, 0.55, 0.1])
     assert len(Q.isotonic_decreasing([])) == 0
     df = spark.createDataFrame([("e", 1.0, 0.9), ("e", 2.0, 0.5), ("e", 3.0, 0.6), ("e", 4.0, 0.1), ("f", 1.0, None)], "e string, s double, p double")

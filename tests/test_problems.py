@@ -40,6 +40,18 @@ def test_grid_against_direct_weights(spark):
         assert r.close == y[t < (h + 1) * H][-1]
 
 
+def test_the_mark_comes_from_the_kernel(spark):
+    g = hourly_series(candles(spark, [(1, "a", 0, 1.0, 1, 0, 9), (2, "a", 3 * H, 1.0, 2, 0, 9), (3, "a", 3 * H + 5, None, 2, 0, 9)]))
+    m = g.where("missing").select("asset", "hour_epoch")
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert all(f"l{k}" in plan for k in range(5)) and "POWER" in plan.upper()  # power sums of the kernel
+    assert [r.hour_epoch for r in m.orderBy("hour_epoch").collect()] == [3600, 7200]
+    rng = np.random.default_rng(3)
+    t = np.unique(np.concatenate([rng.integers(0, 30 * H, 400), np.arange(0, 30 * H, 5 * H), np.arange(1, 30) * H - 1]))
+    two = hourly_series(candles(spark, [(i, "a", int(x), 5.0, 1, 0, 9) for i, x in enumerate(t)]), min_readings=12)
+    assert {r.hour_epoch // 3600 for r in two.where("missing").collect()} == {h for h in range(30) if (t // H == h).sum() < 12}
+
+
 def test_grid_cases(spark):
     data = [
         (1, "a", 0, None, None, 0, 9), (2, "a", 2 * H + 60_000_000, 104.0, 3, 0, 9), (3, "a", 2 * H + 60_000_000, 105.0, 3, 1, 9), (2, "a", 2 * H + 60_000_000, 104.0, 3, 0, 9),
@@ -220,3 +232,17 @@ def test_ranges_by_characters():
 
     assert list(by_chars([], 10)) == [] and list(by_chars(["a" * 50], 10)) == [(0, 1)]
     assert list(by_chars(["aaaa", "bbbb", "cccc", "", "d" * 20, "e"], 10)) == [(0, 2), (2, 4), (4, 5), (5, 6)]
+
+
+def test_days_are_those_of_utc_in_any_session(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", h, 1_700_000_000 + 3600 * h, 0.5, True, 0) for h in range(60)]
+    grid = spark.createDataFrame(rows, "asset string, h int, s long, rv double, traded boolean, v long").selectExpr("asset", "h", "timestamp_seconds(s) ts", "rv", "traded", "timestamp_seconds(v) ingested_at")
+    of = lambda: sorted(tuple(r) for r in volatility_features(grid).select(F.col("anchor_date").cast("string"), "rv1d_var", "coverage30").collect())
+    want = of()
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert of() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -99,6 +99,24 @@ def test_stream_into_table_ignores_known_keys(spark, tmp_path, rows):
     assert rows(J.read_table(spark, out), "id") == sorted([(i,) for i in range(15)], key=repr)
 
 
+def test_a_batch_that_broke_off_leaves_the_table_whole(spark, tmp_path, rows):
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    ticks(spark, 0, 10).coalesce(1).write.mode("append").parquet(src)
+    J.into_table(J.stream_of(spark, src, ticks(spark, 0, 1).schema), out, ["id"], cp)
+    broken = tmp_path / "out" / "part-00000000-0000000007"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half a file")
+    ticks(spark, 5, 15).coalesce(1).write.mode("append").parquet(src)
+    J.into_table(J.stream_of(spark, src, ticks(spark, 0, 1).schema), out, ["id"], cp)
+    # another job with a checkpoint of its own adds to the same table
+    J.into_table(J.stream_of(spark, src, ticks(spark, 0, 1).schema), out, ["id"], str(tmp_path / "cp2"))
+    assert rows(J.read_table(spark, out), "id") == sorted([(i,) for i in range(15)], key=repr)
+    (broken / "_SUCCESS").touch()  # a folder that calls itself complete and cannot be read is an error, not an empty table
+    ticks(spark, 20, 22).coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        J.into_table(J.stream_of(spark, src, ticks(spark, 0, 1).schema), out, ["id"], cp)
+
+
 def test_freshness_and_failing_venues(spark):
     now = dt.datetime(2024, 1, 1, 3)
     assert J.fresh(ticks(spark, 0, 200), "ts", now, 3600).count() == 80

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideglass.functions.vectors import bisect
-
 
 def mid_price(bid: Column, ask: Column, last: Column, widest: float = 0.1) -> Column:
     """The middle if both sides are there and no further apart than ``widest``, else the last price."""
@@ -30,59 +30,52 @@ def proportional(df: DataFrame, event: str, q: str) -> DataFrame:
     return df.withColumn("share", F.when(total > 0, F.col(q) / total))
 
 
-def power_probabilities(q: np.ndarray) -> np.ndarray:
-    """q^k with k such that they sum to 1; proportional where the sum is at most 1 or nothing is between 0 and 1."""
-    q = np.asarray(q, float)
-    if q.sum() <= 0:
-        return np.full(len(q), np.nan)
-    pos = q > 0
-    if q.sum() <= 1 or (q[pos] >= 1).any() or pos.sum() < 2:
-        return q / q.sum()
-    k = bisect(lambda k: 1 - np.array([np.sum(q[pos] ** x) for x in k]), np.array([1.0]), np.array([200.0]))[0]
-    out = np.zeros(len(q))
-    out[pos] = q[pos] ** k
-    return out
-
-
-def shin_probabilities(q: np.ndarray) -> tuple[np.ndarray, float]:
-    """Probabilities and the share of informed money that explains the overround; proportional where there is none."""
-    q = np.asarray(q, float)
-    total = q.sum()
-    if total <= 0:
-        return np.full(len(q), np.nan), float("nan")
-    if total <= 1:
-        return q / total, 0.0
-    p = lambda z: (np.sqrt(z**2 + 4 * (1 - z) * q**2 / total) - z) / (2 * (1 - z))
-    z = bisect(lambda z: np.array([1 - p(x).sum() for x in z]), np.array([0.0]), np.array([1 - 1e-9]))[0]
-    return (p(z), float(z)) if np.isfinite(z) else (q / total, 0.0)
+def _root(total: Callable[[Column], Column], lo: Column, hi: Column, steps: int = 60) -> Column:
+    """Where a falling total comes down to 1, by halving the range between lo and hi."""
 
+    def halve(r: Column, _: Column) -> Column:
+        mid = (r["lo"] + r["hi"]) / 2
+        return F.when(total(mid) > 1, F.struct(mid.alias("lo"), r["hi"].alias("hi"))).otherwise(F.struct(r["lo"].alias("lo"), mid.alias("hi")))
 
-def normalise(df: DataFrame, event: str, outcome: str, q: str) -> DataFrame:
-    """event, outcome, q, power, shin, insider: one group per event, whose outcomes are a venue's list of choices."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(lo.alias("lo"), hi.alias("hi")), halve, lambda r: (r["lo"] + r["hi"]) / 2)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("o").reset_index(drop=True)
-        x = pdf["q"].fillna(0).clip(0, 1).to_numpy()
-        shin, z = shin_probabilities(x)
-        return pdf.assign(power=power_probabilities(x), shin=shin, insider=z)
 
-    rows = df.select(F.col(event).cast("string").alias("e"), F.col(outcome).cast("string").alias("o"), F.col(q).alias("q"))
-    return rows.groupBy("e").applyInPandas(run, "e string, o string, q double, power double, shin double, insider double").withColumnsRenamed({"e": event, "o": outcome})
+def normalise(df: DataFrame, event: str, outcome: str, q: str) -> DataFrame:
+    """event, outcome, q, power, shin, insider: probabilities of the outcomes of each event, inside the JVM.
+
+    power: q to the exponent with which the outcomes sum to 1. shin: as if a share of informed money (insider) explained the
+    overround. Both are proportional where the sum is at most 1; power also where a q reaches 1 or only one is above 0. Null
+    q count 0, others are cut to 0..1; all are null where they sum to 0. An event's outcomes are a venue's list of choices.
+    """
+    held = F.least(F.greatest(F.coalesce(F.col(q).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    e = df.select(F.col(event).cast("string").alias("e"), F.struct(F.col(outcome).cast("string").alias("o"), F.col(q).alias("q"), held.alias("x")).alias("r")).groupBy("e").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    add = lambda f: F.aggregate("rs", F.lit(0.0), lambda s, r: s + f(r["x"]))
+    e = e.withColumn("t", add(lambda x: x))
+    positive = F.size(F.filter("rs", lambda r: r["x"] > 0))
+    flat = (F.col("t") <= 1) | F.exists("rs", lambda r: r["x"] >= 1) | (positive < 2)
+    shin = lambda x, z: (F.sqrt(z * z + 4 * (1 - z) * x * x / F.col("t")) - z) / (2 * (1 - z))
+    e = e.withColumn("k", F.when(flat, F.lit(None)).otherwise(_root(lambda k: add(lambda x: F.when(x > 0, F.pow(x, k)).otherwise(F.lit(0.0))), F.lit(1.0), F.lit(200.0))))
+    e = e.withColumn("z", F.when(F.col("t") <= 1, F.lit(0.0)).otherwise(_root(lambda z: add(lambda x: shin(x, z)), F.lit(0.0), F.lit(1 - 1e-9))))
+    some, x = F.col("t") > 0, F.col("r.x")
+    power = F.when(F.col("k").isNull(), x / F.col("t")).when(x > 0, F.pow(x, F.col("k"))).otherwise(F.lit(0.0))
+    informed = F.when(F.col("t") <= 1, x / F.col("t")).otherwise(shin(x, F.col("z")))
+    out = e.select("e", F.explode("rs").alias("r"), "t", "k", "z")
+    return out.select(F.col("e").alias(event), F.col("r.o").alias(outcome), F.col("r.q").alias(q), F.when(some, power).alias("power"), F.when(some, informed).alias("shin"), F.when(some, F.col("z")).alias("insider"))
 
 
 def isotonic_decreasing(v: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-    """Weighted pool-adjacent-violators fit that does not increase, clipped to 0..1."""
+    """Weighted least-squares fit that does not increase, cut to 0..1: at each place the least, over where a stretch may
+    begin at or before it, of the largest mean of the stretches that end at or behind it."""
     v = np.asarray(v, float)
     w = np.ones(len(v)) if w is None else np.asarray(w, float)
-    mean, weight, size = [], [], []
-    for x, y in zip(v, w):
-        mean.append(x), weight.append(y), size.append(1)
-        while len(mean) > 1 and mean[-2] < mean[-1]:
-            total = weight[-2] + weight[-1]
-            mean[-2:] = [(mean[-2] * weight[-2] + mean[-1] * weight[-1]) / total]
-            weight[-2:] = [total]
-            size[-2:] = [size[-2] + size[-1]]
-    return np.clip(np.repeat(mean, size), 0, 1)
+    if not len(v):
+        return v
+    mass, size = np.append(0, np.cumsum(w * v)), np.append(0, np.cumsum(w))
+    k = np.arange(len(v))
+    ends_behind = k[None, :] >= k[:, None]
+    mean = np.where(ends_behind, (mass[None, 1:] - mass[:-1, None]) / np.where(ends_behind, size[None, 1:] - size[:-1, None], 1), -np.inf)
+    largest = np.maximum.accumulate(mean[:, ::-1], axis=1)[:, ::-1]
+    return np.clip(np.min(np.where(ends_behind, largest, np.inf), axis=0), 0, 1)
 
 
 def repair_ladders(df: DataFrame, event: str, strike: str, p: str) -> DataFrame:
@@ -130,7 +123,7 @@ def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old and the new rows whose key it does not hold; of new rows of one key the first in all columns' order."""
     rest = [c for c in new.columns if c not in key]
     once = new.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*")
-    return old.unionByName(once.join(old, key, "left_anti").select(*old.columns))
+    return old.unionByName(once.join(old.select(*key), key, "left_anti").select(*old.columns))
 
 
 def dirichlet(counts: DataFrame, event: str, outcome: str, n: str, strength: float) -> DataFrame:

@@ -46,7 +46,9 @@ def history_steps(rng, paths: int, steps: int, history: np.ndarray, lam: float =
         v[i + 1] = lam * v[i] + (1 - lam) * x * x
     shocks = r / np.sqrt(np.maximum(v[:-1], 1e-18))
     shocks = shocks - shocks.mean()
-    start = rng.integers(0, max(1, len(shocks) - block + 1), (paths, -(-steps // block)))
+    spread = shocks.std()
+    shocks = shocks / spread if spread > 0 else shocks  # of unit variance, so that the recursion keeps its level
+    start = rng.integers(0, max(1, len(shocks) - block), (paths, -(-steps // block)))
     pick = (start[:, :, None] + np.arange(block)).reshape(paths, -1)[:, :steps]
     z = shocks[np.minimum(pick, len(shocks) - 1)]
     dx, var = np.empty((paths, steps)), np.empty((paths, steps))

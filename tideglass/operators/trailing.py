@@ -51,10 +51,11 @@ def trailing_totals(daily: DataFrame, entity: str, day: str, amounts: dict[str,
 
 
 def volatility_features(grid: DataFrame) -> DataFrame:
-    """asset, anchor_date, rv1d_var, rv7d_var, rv30d_var, coverage30 for every day, from superseded and repeated hours."""
+    """asset, anchor_date, rv1d_var, rv7d_var, rv30d_var, coverage30 for every day, from superseded and repeated hours.
+    Days are those of UTC, whatever the time zone of the session."""
     hours = latest_rows(grid.where(F.col("asset").isNotNull() & F.col("ts").isNotNull()), ["asset", "h"], "ingested_at", ["ts", "rv", "traded"])
     rv = F.when(~F.isnan("rv"), F.col("rv")).cast(EXACT)
-    daily = hours.select("asset", F.to_date("ts").alias("anchor_date"), rv.alias("rv"), F.coalesce(F.col("traded").cast("int"), F.lit(0)).alias("hours")).groupBy("asset", "anchor_date").agg(F.sum("rv").alias("rv"), F.sum("hours").alias("hours"))
+    daily = hours.select("asset", F.date_from_unix_date((F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000))).cast("int")).alias("anchor_date"), rv.alias("rv"), F.coalesce(F.col("traded").cast("int"), F.lit(0)).alias("hours")).groupBy("asset", "anchor_date").agg(F.sum("rv").alias("rv"), F.sum("hours").alias("hours"))
     t = trailing_totals(daily, "asset", "anchor_date", {"t1": ("rv", 1), "t7": ("rv", 7), "t30": ("rv", 30), "c30": ("hours", 30)})
     return t.select("asset", "anchor_date", F.col("t1").alias("rv1d_var"), (F.col("t7") / 7).alias("rv7d_var"), (F.col("t30") / 30).alias("rv30d_var"), (F.col("c30") / 720).alias("coverage30"))
 

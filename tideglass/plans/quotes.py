@@ -47,7 +47,19 @@ def proportional(spark: SparkSession, d: str) -> DataFrame:
     return Q.proportional(_outcomes(spark, d, "bucket"), "event_key", "mid").select("event_key", "outcome_label", F.round("share", 9).alias("share"))
 
 
-@R.add()
+_HALVED = "{n} as (select event_key, 0 as i, {lo}::double as lo, {hi}::double as hi from ev union all select r.event_key, i + 1, case when {f} > 1 then (lo + hi) / 2 else lo end, case when {f} > 1 then hi else (lo + hi) / 2 end from {n} r join ev using (event_key) where i < 60)"
+_SHIN = "(sqrt({z} * {z} + 4 * (1 - {z}) * x * x / t) - {z}) / (2 * (1 - {z}))"
+_KS = _HALVED.format(n="ks", lo="1", hi="200", f="list_sum(list_transform(q, lambda x: case when x > 0 then pow(x, (lo + hi) / 2) else 0 end))")
+_ZS = _HALVED.format(n="zs", lo="0", hi="(1 - 1e-9)", f="list_sum(list_transform(q, lambda x: " + _SHIN.format(z="((lo + hi) / 2)") + "))")
+
+
+@R.add(
+    f"""{_Q.replace("with ", "with recursive ", 1)}, {_LATEST}, o as (select event_key, outcome_label, least(greatest(mid, 0), 1) as x from lt join m using (market_id) where kind = 'bucket' and mid is not null),
+    ev as (select event_key, list(x order by outcome_label, x) as q, sum(x) as t, count(*) filter (where x > 0) as n, max(x) as most from o group by 1), {_KS}, {_ZS},
+    f as (select o.*, t, n, most, (ks.lo + ks.hi) / 2 as k, (zs.lo + zs.hi) / 2 as z from o join ev using (event_key) join ks using (event_key) join zs using (event_key) where ks.i = 60 and zs.i = 60)
+    select event_key, outcome_label, case when t > 0 then round(case when t <= 1 or most >= 1 or n < 2 then x / t when x > 0 then pow(x, k) else 0 end, 7) end as power,
+        case when t > 0 then round(case when t <= 1 then x / t else {_SHIN.format(z="z")} end, 7) end as shin, case when t > 0 then round(case when t <= 1 then 0 else z end, 7) end as insider from f"""
+)
 def shin_power(spark: SparkSession, d: str) -> DataFrame:
     """Normalised probabilities by the power rule and by informed trading."""
     n = Q.normalise(_outcomes(spark, d, "bucket"), "event_key", "outcome_label", "mid")

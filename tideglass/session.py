@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -51,8 +52,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local mode)."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode, else an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not there:
         there = tempfile.mkdtemp(prefix="tideglass-")
         spark.conf.set("spark.checkpoint.dir", there)

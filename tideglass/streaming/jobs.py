@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideglass.operators.quotes import insert_ignore
-
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """New parquet files below a folder as a stream."""
@@ -74,30 +73,41 @@ def keyed_state(ticks: DataFrame, delta: float = 0.99, gain: float = 0.2, entry:
 def into_table(stream: DataFrame, path: str, key: list[str], checkpoint: str) -> object:
     """Run the stream once over what is there, adding rows whose key the table at path does not hold yet.
 
-    Every batch writes the table anew beside the old one and then points to it, so a lost executor or a repeated batch
-    leaves it whole.
+    Every batch adds a folder of its own, named by checkpoint and batch, with the new rows alone; nothing that was written
+    before is touched. A folder counts once Spark has marked it complete, so a batch that broke off leaves no trace, and a
+    repeated one replaces its own folder. Failures to read the table are raised.
     """
+    mark = f"part-{zlib.crc32(checkpoint.encode()):08x}"
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/{_current(spark, path)}")
-        except Exception:  # noqa: BLE001 - no table yet
-            old = batch.limit(0)
-        insert_ignore(old, batch.select(*old.columns), key).write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(f"v{number}",)], "v string").coalesce(1).write.mode("overwrite").text(f"{path}/_current")
+        spark, mine = batch.sparkSession, f"{mark}-{number:010d}"
+        before = [p for p in _parts(spark, path) if not p.endswith(f"/{mine}")]
+        rest = [c for c in batch.columns if c not in key]
+        new = batch.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else batch.distinct()
+        if before:
+            new = new.join(spark.read.schema(batch.schema).parquet(*before).select(*key), key, "left_anti")
+        new.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/{mine}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def _current(spark: SparkSession, path: str) -> str:
-    return spark.read.text(f"{path}/_current").first()[0]
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the table that are complete."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(at(path)):
+        return []
+    found = [s.getPath() for s in fs.listStatus(at(path)) if s.isDirectory() and s.getPath().getName().startswith("part-")]
+    return sorted(p.toString() for p in found if fs.exists(at(p, "_SUCCESS")))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_current(spark, path)}")
+    parts = _parts(spark, path)
+    if not parts:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(*parts)
 
 
 def each_venue(venues: dict[str, Callable[[], int]]) -> dict[str, object]:
