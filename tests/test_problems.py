@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pytest
@@ -246,3 +247,34 @@ def test_days_are_those_of_utc_in_any_session(spark):
         assert of() == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_every_zone_name_is_read():
+    import zoneinfo
+
+    for z in sorted(zoneinfo.available_timezones()):
+        if "/" in z and not z.startswith(("posix", "right", "SystemV")):
+            for text in (f"2024-01-10 02:30 {z}", f"2024-01-10T02:30:00[{z}]"):
+                got = parse(text)
+                assert got is not None and got[3] == z and got[0] == 1_704_853_800_000_000, text
+    assert parse("2024-01-10 02:30 am")[0] == parse("2024-01-10 2:30 A.M.")[0] == 1_704_853_800_000_000
+    assert parse("2024-07-10 09:30 ET")[3] == "America/New_York" and parse("Jul 10, 2024 9:30 PM PT")[3] == "America/Los_Angeles"
+
+
+def test_zones_by_the_order_of_a_row(spark):
+    """Half of the rows state New York but were written in Tokyo: the ends, known exactly, show it. Others keep what they state."""
+    t0 = dt.datetime(2024, 2, 1)
+    rows = []
+    for i in range(400):
+        written, start = ZoneInfo("Asia/Tokyo"), t0 + dt.timedelta(hours=5 * i)
+        end = (start.replace(tzinfo=written) + dt.timedelta(hours=2)).astimezone(dt.timezone.utc)
+        rows.append((i, "America/New_York" if i % 2 else "Asia/Tokyo", end.strftime("%Y-%m-%d %H:%M") + " UTC", start.strftime("%Y-%m-%d %H:%M")))
+    df = spark.createDataFrame(rows, "id long, z string, starts string, ends string")  # the end is known, the start not
+    df = df.selectExpr("id", "z", "ends as a", "starts as b")
+    free = {r.id: r.zone for r in to_instants(df, "id", ["a", "b"], zone_col="z").where("field = 'a'").collect()}
+    assert free[1] == "America/New_York"
+    kept = to_instants(df, "id", ["a", "b"], zone_col="z", order=[("a", "b")]).where("field = 'a'")
+    assert {r.zone for r in kept.collect()} == {"Asia/Tokyo"}
+    few = to_instants(df.limit(6), "id", ["a", "b"], zone_col="z", order=[("a", "b")]).where("field = 'a' and id % 2 = 1")
+    assert {r.zone for r in few.collect()} == {"America/New_York"}  # too little evidence against what is stated
+    assert to_instants(df.limit(0), "id", ["a", "b"], zone_col="z", order=[("a", "b")]).count() == 0

@@ -10,21 +10,25 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideglass.session import stored
+
 # US and European zone abbreviations, minutes east of UTC.
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "UT": 0, "GMT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120,
     "EET": 120, "EEST": 180, "MSK": 180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360,
     "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+#: US abbreviations that leave open whether daylight-saving time holds.
+GENERAL = {"ET": "America/New_York", "CT": "America/Chicago", "MT": "America/Denver", "PT": "America/Los_Angeles"}
 MONTHS = {m: i + 1 for i, m in enumerate(("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"))}
 EPOCH = datetime(1970, 1, 1)
 #: Epoch seconds of the century that bare digits must fall into.
 CENTURY = (946_684_800, 4_102_444_800)
 
-_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?\s*(?P<ap>[ap]\.?m\.?)?"
+_TIME = r"(?P<H>\d{1,2}):(?P<M>\d{2})(?::(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?\s*(?P<ap>[ap]\.?m\.?(?![a-z]))?"
 _DATES = [
     r"(?P<y>\d{4})-(?P<m>\d{1,2})-(?P<d>\d{1,2})",
     r"(?P<y>\d{4})/(?P<m>\d{1,2})/(?P<d>\d{1,2})",
@@ -34,7 +38,7 @@ _DATES = [
     r"(?:[a-z]{3,9}\.?,?\s+)?(?P<d>\d{1,2})(?:st|nd|rd|th)?[\s-]+(?P<b>[a-z]{3,9})\.?,?[\s-]+(?P<y>\d{4})",
     r"(?:[a-z]{3,9}\.?,\s+)?(?P<b>[a-z]{3,9})\.?\s+(?P<d>\d{1,2})(?:st|nd|rd|th)?,?\s+(?P<y>\d{4})",
 ]
-_ZONE = r"\s*(?:(?P<z>[a-z]{1,4})|(?:(?:utc|gmt)\s*)?(?P<o>[+\-−]\d{2}:?(?:\d{2})?)|\[?(?P<n>[a-z]+/[a-z_]+(?:/[a-z_]+)?)\]?)"
+_ZONE = r"\s*(?:(?P<z>[a-z]{1,4})|(?:(?:utc|gmt)\s*)?(?P<o>[+\-−]\d{2}:?(?:\d{2})?)|\[?(?P<n>[a-z]+(?:/[a-z0-9_+\-]+){1,2})\]?)"
 _FORMS = [re.compile(rf"{d}(?:(?:\s*t\s*|,?\s+(?:at\s+)?){_TIME}(?:{_ZONE})?)?", re.I | re.A) for d in _DATES]
 _PACKED = re.compile(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})(?:t?(?P<H>\d{2})(?P<M>\d{2})(?:(?P<S>\d{2})(?:[.,](?P<f>\d+))?)?" + rf"(?:{_ZONE})?)?", re.I | re.A)
 _DIGITS = re.compile(r"(-?\d{1,20})(?:\.(\d+))?", re.A)
@@ -73,8 +77,8 @@ def _from_parts(g: dict[str, str | None]) -> tuple[int, bool, int | None, str |
         hour = hour % 12 + (12 if g["ap"][0].lower() == "p" else 0)
     offset = name = None
     if g["z"]:
-        offset = ABBREVIATIONS.get(g["z"].upper())
-        if offset is None:
+        offset, name = ABBREVIATIONS.get(g["z"].upper()), GENERAL.get(g["z"].upper())
+        if offset is None and name is None:
             return None
     elif g["o"]:
         o = g["o"].replace(":", "")
@@ -126,12 +130,6 @@ def parse_time(text: str | None) -> int | None:
     return got[0] if got else None
 
 
-def violations(wall_us: np.ndarray, seen_us: np.ndarray, name: str, slack_us: int = 0) -> int:
-    """How many wall times, read in that zone's offset history, lie after the instant at which they were seen."""
-    utc = np.array([wall_to_utc(int(w), name) for w in wall_us], dtype="float64")
-    return int(np.sum(utc > seen_us + slack_us))
-
-
 def best_zone(wall_us: np.ndarray, seen_us: np.ndarray | None, candidates: list[str], slack_us: int = 0) -> str:
     """The candidate whose offset history has the fewest violations; of equals the one with the least median delay.
 
@@ -178,17 +176,64 @@ def estimate_zones(df: DataFrame, source: str, text: str, seen: str, candidates:
     return best.select(F.col("s").alias(source), F.array(*map(F.lit, candidates))[F.col("b.k")].alias("zone"), F.col("b.late").alias("violations"), F.col("b.n").alias("values"))
 
 
-def to_instants(df: DataFrame, id_col: str, texts: list[str], zone_col: str | None = None, default_zone: str = "UTC", time_col: str | None = None, default_time: str = "00:00", zones: DataFrame | None = None, source: str | None = None) -> DataFrame:
+PARSED = "array<struct<field:string,text:string,wall:bigint,offset:int,own:string>>"
+
+
+def _utc(wall: Column, offset: Column, zone_name: Column) -> Column:
+    """UTC microseconds of a wall time with an offset in minutes, else in a zone: the first of two, a skipped one moved on."""
+    return F.when(offset.isNotNull(), wall - offset.cast("long") * 60_000_000).otherwise(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall), zone_name)))
+
+
+def _by_order(parsed: DataFrame, order: list[tuple[str, str]], default_zone: str, least: float) -> dict[str | None, str]:
+    """Stated zone (None: none) -> the offset history with the fewest violations of the order of a row's instants.
+
+    Of each pair (earlier field, later field) with one text whose instant is fixed and one without a zone, every candidate
+    (the zones that are stated anywhere, and the default) is tried: a violation is an earlier field after the later one.
+    Counts are summed map-side. The stated zone is the prior: another one is taken only if it saves more than ``least`` of
+    the comparisons and four standard deviations of their count.
+    """
+    stated = [r["z"] for r in parsed.groupBy("z").count().collect()]  # at most as many as there are zones
+    names = sorted({default_zone, *[z for z in stated if z]})
+    tries = F.explode(F.array(*map(F.lit, names))).alias("c")
+    got = None
+    for early, late in order:
+        pick = lambda f: F.get(F.filter("ps", lambda p: p["field"] == f), F.lit(0))
+        pair = parsed.select("z", pick(early).alias("a"), pick(late).alias("b"))
+        fixed = lambda p: F.col(f"{p}.offset").isNotNull() | F.col(f"{p}.own").isNotNull()
+        pair = pair.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (fixed("a") != fixed("b"))).select("z", "a", "b", tries)
+        at = lambda p: _utc(F.col(f"{p}.wall"), F.col(f"{p}.offset"), F.coalesce(F.col(f"{p}.own"), F.col("c")))
+        one = pair.groupBy("z", "c").agg(F.sum((at("a") > at("b")).cast("long")).alias("bad"), F.count(F.lit(1)).alias("n"))
+        got = one if got is None else got.unionByName(one)
+    score = {(r["z"], r["c"]): (r["bad"], r["n"]) for r in got.groupBy("z", "c").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).collect()}
+    out: dict[str | None, str] = {}
+    for z in [None, *[z for z in stated if z]]:
+        prior = z or default_zone
+        bad, n = score.get((z, prior), (0, 0))
+        best = min(names, key=lambda c: (score.get((z, c), (bad, n))[0], c != prior))
+        saved = bad - score.get((z, best), (bad, n))[0]
+        out[z] = best if saved > max(least * n, 4 * n**0.5) else prior
+    return out
+
+
+def to_instants(df: DataFrame, id_col: str, texts: list[str], zone_col: str | None = None, default_zone: str = "UTC", time_col: str | None = None, default_time: str = "00:00", zones: DataFrame | None = None, source: str | None = None, order: list[tuple[str, str]] | None = None, least: float = 0.02) -> DataFrame:
     """id, field, text, utc_us, zone: every text that denotes an instant, with it in epoch microseconds (finer digits cut).
 
     A zone, offset or abbreviation in the text wins; else zone_col; else the zone estimated for the row's source
-    (``zones`` as estimate_zones gives it); else default_zone. With slashes the month comes first unless the year leads,
-    with dots the day. Bare digits are an epoch in the unit that gives a date in this century. A date without a time takes
-    time_col, else default_time. Of a wall time that occurs twice the first is meant, a skipped one moves forward.
+    (``zones`` as estimate_zones gives it); else default_zone. ``order``: pairs of texts of a row of which the first should
+    not be later; the offset history of each stated zone (and of rows without one) is then estimated by the fewest
+    violations of it, with the stated zone (default_zone) as prior that gives way only to evidence (see _by_order). With
+    slashes the month comes first unless the year leads, with dots the day. Bare digits are an epoch in the unit that gives
+    a date in this century. A date without a time takes time_col, else default_time. Of a wall time that occurs twice the
+    first is meant, a skipped one moves forward.
+
+    Texts are parsed once, by Python; what follows (estimate, conversion) stays in the JVM. With ``order`` what was parsed is
+    written to the shared folder, as it is read twice.
 
     Null, empty, impossible and other texts do not appear; an unknown zone name counts as none. Rows of a null id are left
     out, repeats count once, an empty table gives no rows.
     """
+    spark = df.sparkSession
+    known = frozenset(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
     cols = [F.col(id_col).alias("id"), *[F.col(t).cast("string").alias(f"t{i}") for i, t in enumerate(texts)]]
     cols.append((F.col(zone_col) if zone_col else F.lit(None)).cast("string").alias("z"))
     cols.append((F.col(time_col) if time_col else F.lit(None)).cast("string").alias("h"))
@@ -201,23 +246,32 @@ def to_instants(df: DataFrame, id_col: str, texts: list[str], zone_col: str | No
         cols.append(F.lit(None).cast("string").alias("e"))
     rows = rows.select(*cols).distinct()
     kind = dict(rows.dtypes)["id"]
+    plain_time = parse_time(default_time)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        valid = lambda z: z if isinstance(z, str) and z in known else None
         for pdf in it:
-            out = []
-            names = [z if isinstance(z, str) and zone(z) is not None else e if isinstance(e, str) and zone(e) is not None else default_zone for z, e in zip(pdf["z"], pdf["e"])]
-            for i, field in enumerate(texts):
-                for key, t, name, h in zip(pdf["id"], pdf[f"t{i}"], names, pdf["h"]):
+            found: list[list] = [[] for _ in range(len(pdf))]
+            for i, name in enumerate(texts):
+                for row, t, h in zip(found, pdf[f"t{i}"], pdf["h"]):
                     p = parse(t) if isinstance(t, str) else None
-                    if p is None:
+                    if p is None or p[3] is not None and p[3] not in known:
                         continue
                     us, timed, offset, own = p
                     if not timed:
                         extra = parse_time(h) if isinstance(h, str) else None
-                        us += extra if extra is not None else parse_time(default_time)
-                    utc = us - offset * 60_000_000 if offset is not None else wall_to_utc(us, own or name)
-                    if utc is not None:
-                        out.append((key, field, t, utc, "offset" if offset is not None else own or name))
-            yield pd.DataFrame(out, columns=["id", "field", "text", "utc_us", "zone"])
+                        us += extra if extra is not None else plain_time
+                    row.append((name, t, us, offset, own))
+            yield pd.DataFrame({"id": pdf["id"], "z": [valid(z) for z in pdf["z"]], "e": [valid(e) for e in pdf["e"]], "ps": found})
 
-    return rows.mapInPandas(run, f"id {kind}, field string, text string, utc_us long, zone string").select(F.col("id").alias(id_col), "field", "text", "utc_us", "zone")
+    parsed = rows.mapInPandas(run, f"id {kind}, z string, e string, ps {PARSED}")
+    name = F.coalesce("z", "e", F.lit(default_zone))
+    if order:
+        parsed = stored(parsed, "instants")
+        chosen = _by_order(parsed, order, default_zone, least)
+        told = [x for z, c in chosen.items() if z is not None for x in (F.lit(z), F.lit(c))]
+        name = F.coalesce(F.create_map(*told)[F.col("z")] if told else F.lit(None), F.col("e"), F.lit(chosen[None]))
+    each = parsed.select("id", name.alias("zone"), F.explode("ps").alias("p"))
+    own = F.coalesce("p.own", "zone")
+    utc = _utc(F.col("p.wall"), F.col("p.offset"), own)
+    return each.select(F.col("id").alias(id_col), "p.field", "p.text", utc.alias("utc_us"), F.when(F.col("p.offset").isNotNull(), F.lit("offset")).otherwise(own).alias("zone"))

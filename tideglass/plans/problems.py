@@ -175,7 +175,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    events = to_instants(table(spark, d, "venue_event"), "rec_id", ["start_date", "last_updated_ts", "close_time"], zone_col="tz_name")
+    events = to_instants(table(spark, d, "venue_event"), "rec_id", ["start_date", "last_updated_ts", "close_time"], zone_col="tz_name", order=[("start_date", "close_time")])
     labels = to_instants(table(spark, d, "reliability_label"), "label_id", ["meeting_date"], default_zone="America/New_York", time_col="statement_time", default_time="14:00")
     rows = lambda x, src, key: x.select(F.lit(src).alias("src"), F.col(key).alias("rec_id"), "field", "utc_us")
     return rows(events, "venue_event", "rec_id").unionByName(rows(labels, "reliability_label", "label_id"))
