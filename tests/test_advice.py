@@ -66,16 +66,59 @@ def test_records_deeper_than_the_json_reader():
     assert not out
 
 
-def test_stack_parser_equals_json():
-    good = ['{"a": [1, -2.5e3, "x\\u00e9\\n", null, true, {}], "a": {"b": []}, "": [[], [[false]]]}', " [ ] ", '"s"', "3", "[NaN]", '{"k" : {"l":"m"} , "n":[1 ,2]}']
-    bad = ["", "[", "[1,]", '{"a" 1}', '{"a":1,}', "{1:2}", "[1] 2", '{"a":}', "[1 2]", '["x]', "]", '{"a":[1}']
-    for s in good:
-        assert repr(N._deep(s)) == repr(json.loads(s))
-    for s in bad:
+def leaves(record, cfg=N.NestConfig()):
+    out = []
+    N.triples(1, record, cfg, lambda *r: out.append(r))
+    return out
+
+
+def test_broken_records_give_nothing():
+    for s in ["", "[", "[1,]", '{"a" 1}', '{"a":1,}', "{1:2}", "[1] 2", '{"a":}', "[1 2]", '["x]', "]", '{"a":[1}', '{"a":01}', '{"a":tru}', '["\t"]', '{"a":{"b":1}']:
         with pytest.raises(ValueError):
             json.loads(s)
-        with pytest.raises(ValueError):
-            N._deep(s)
+        assert leaves(s) == [], s
+
+
+def test_triples_equal_a_walk_over_the_parsed_record():
+    import random
+
+    r = random.Random(4)
+    names = ["a", "b", "a.b", "c[]", "x\\y", "é", ""]
+
+    def value(depth):
+        x = r.random()
+        if depth and x < 0.35:
+            return {r.choice(names): value(depth - 1) for _ in range(r.randrange(4))}
+        if depth and x < 0.6:
+            return [value(depth - 1) for _ in range(r.randrange(4))]
+        return r.choice([None, True, False, 3, -17, 2.5, 1e30, "s", "two words", "5", "[x", "{y"])
+
+    def walk(v, node, name):
+        """Node path, leaf name and text of every leaf, by recursion."""
+        esc = lambda k: k.replace("\\", "\\\\").replace(".", "\\.").replace("[", "\\[").replace("]", "\\]")
+        if isinstance(v, dict):
+            for k, x in v.items():
+                yield from walk(x, node, f"{name}.{esc(k)}" if name else esc(k))
+        elif isinstance(v, list):
+            for i, x in enumerate(v):
+                yield from walk(x, f"{node}.{name}[{i}]" if name else f"{node}[{i}]", "")
+        elif v is not None:
+            yield node, name or "value", v if isinstance(v, str) else json.dumps(v)
+
+    for _ in range(300):
+        v = [value(4), {"k": value(4)}]
+        got = [(x[2], x[5], x[6]) for x in leaves(json.dumps(v, indent=r.choice([None, 2]))) if x[7] in ("string", "number", "bool")]
+        assert got == list(walk(v, "$", ""))
+
+
+def test_names_with_dots_and_lists_in_strings():
+    got = {(x[5], x[6]) for x in leaves('{"a.b": 5, "a": {"b": 6}}') if x[7] == "number"}
+    assert got == {("a\\.b", "5"), ("a.b", "6")}
+    got = [x for x in leaves('{"id": 7, "prices": "[\\"0.2\\", \\"0.8\\"]", "note": "[sic] so"}')]
+    assert [x[6] for x in got if x[1] == "$.prices[]" and x[7] == "string"] == ["0.2", "0.8"]
+    assert {(x[5], x[6]) for x in got if x[2] == "$" and x[7] == "string"} == {("prices", '["0.2", "0.8"]'), ("note", "[sic] so")}
+    got = leaves('{"events": [{"markets": {"x": {"ticker": "M1", "id": 3}, "y": null, "z": {"ticker": "M2"}}, "event_ticker": "E"}]}')
+    assert [(x[2], x[5], x[6]) for x in got if x[7] == "ref"] == [("$.events[0]", "ref", "E"), ("$.events[0].markets[0]", "^ref", "E"), ("$.events[0].markets[0]", "ref", "M1"), ("$.events[0].markets[2]", "^ref", "E"), ("$.events[0].markets[2]", "ref", "M2")]
 
 
 @needs_data

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from json.decoder import scanstring
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TRIPLES = "doc long, grp string, node string, parent string, ord int, name string, value string, kind string"
@@ -22,126 +24,189 @@ class NestConfig:
     refs: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"markets": ("ticker", "id"), "": ("event_ticker", "id")})
 
 
-def _deep(s: str):
-    """json.loads without recursion: open objects and lists wait on a stack, so depth is bounded by memory alone."""
-    space, scalar = json.decoder.WHITESPACE, json.JSONDecoder().raw_decode
+_SPACE = json.decoder.WHITESPACE.match
+_NUMBER = re.compile(r"(-?(?:0|[1-9][0-9]*))(\.[0-9]+)?([eE][-+]?[0-9]+)?").match
+_MARKS = re.compile(r'["{}\[\]]').search
+_NAMES = {"true": "bool", "false": "bool", "null": None, "NaN": "number", "Infinity": "number", "-Infinity": "number"}
+
+
+def _path_name(k: str) -> str:
+    """A name as part of a path: what paths are made of is escaped in it."""
+    return re.sub(r"([.\[\]\\])", r"\\\1", k) if "." in k or "[" in k or "]" in k or "\\" in k else k
 
-    def key(at: int) -> tuple[str, int]:
-        if s[at : at + 1] != '"':
-            raise ValueError("no key")
-        k, at = scalar(s, at)
-        at = space.match(s, at).end()
-        if s[at : at + 1] != ":":
-            raise ValueError("no colon")
-        return k, space.match(s, at + 1).end()
 
-    at, stack = space.match(s, 0).end(), []
+def _skip(s: str, at: int) -> int:
+    """End of the object, list or string that begins there."""
+    depth = 0
     while True:
-        c = s[at : at + 1]
-        if c == "{" or c == "[":
-            v, at = {} if c == "{" else [], space.match(s, at + 1).end()
-            if s[at : at + 1] != ("}" if c == "{" else "]"):
-                k, at = key(at) if c == "{" else (None, at)
-                stack.append((v, k))
-                continue
-            at += 1
+        m = _MARKS(s, at)
+        if m is None:
+            raise ValueError("not closed")
+        c, at = m[0], m.end()
+        if c == '"':
+            at = scanstring(s, at)[1]
         else:
-            v, at = scalar(s, at)
-        while True:  # v is complete: into what it stands in, which may be complete by it
-            at = space.match(s, at).end()
-            if not stack:
-                if at < len(s):
-                    raise ValueError("text after the record")
-                return v
-            box, k = stack.pop()
-            c, keyed = s[at : at + 1], isinstance(box, dict)
-            if keyed:
-                box[k] = v
-            else:
-                box.append(v)
-            if c == ",":
-                at = space.match(s, at + 1).end()
-                k, at = key(at) if keyed else (None, at)
-                stack.append((box, k))
-                break
-            if c != ("}" if keyed else "]"):
-                raise ValueError("not closed")
-            v, at = box, at + 1
-
-
-def _parsed(s: str):
-    """The record as a tree: by json.loads, or where that would nest too deep, by a stack. Of equal keys the last holds."""
-    try:
-        return json.loads(s)
-    except RecursionError:
-        return _deep(s)
+            depth += 1 if c in "{[" else -1
+        if depth <= 0:
+            return at
 
 
-def _embedded(s: str):
-    """The JSON in a string, if it is one that holds objects; else None."""
-    t = s.lstrip()
-    if t[:1] not in ("{", "[", '"'):
-        return None
-    try:
-        j = _parsed(t)
-    except ValueError:
-        return None
-    if isinstance(j, str):
-        return _embedded(j)
-    return j if isinstance(j, dict) or (isinstance(j, list) and any(isinstance(x, (dict, list)) for x in j)) else None
+class _Reader:
+    """Reads one record token by token and keeps triples, with a stack of what is open; no tree of it is built."""
 
+    def __init__(self, cfg: NestConfig) -> None:
+        self.cfg = cfg
+        self.rows: list[tuple] = []
+        self.nodes: list[tuple] = []  # node, parent, group, ordinal, names that may be its reference, their values (None: no object)
 
-def _text(v) -> str:
-    return v if isinstance(v, str) else "true" if v is True else "false" if v is False else json.dumps(v)
+    def _key(self, s: str, at: int) -> tuple[str, int]:
+        if s[at : at + 1] != '"':
+            raise ValueError("no key")
+        k, at = scanstring(s, at + 1)
+        at = _SPACE(s, at).end()
+        if s[at : at + 1] != ":":
+            raise ValueError("no colon")
+        return k, _SPACE(s, at + 1).end()
+
+    def _keyed(self, s: str, at: int) -> bool:
+        """Whether the object that begins before ``at`` holds objects (or null) only, none under a reference's name."""
+        some = False
+        while s[at : at + 1] == '"':
+            k, at = self._key(s, at)
+            if k in ("id", "ticker"):
+                return False
+            if s.startswith("null", at):
+                at += 4
+            elif s[at : at + 1] == "{":
+                at = _skip(s, at)
+            else:
+                return False
+            some, at = True, _SPACE(s, at).end()
+            at = _SPACE(s, at + 1).end() if s[at : at + 1] == "," else at
+        return some
+
+    def read(self, s: str, key: str, grp: str, node: str, parent: str | None, ordinal: int, name: str) -> None:
+        """One whole JSON text whose value stands at that place; ValueError if it is not complete."""
+        new = False  # whether the value to come is an item of a list, which makes a node of its own unless it is null
+        stack: list[list] = []
+        at = _SPACE(s, 0).end()
+        while True:
+            c = s[at : at + 1]
+            if new and not s.startswith("null", at):
+                self.rows.append((grp, node, parent, ordinal, "", None, "node"))
+                if c != "{":
+                    self.nodes.append((node, parent, grp, ordinal, (), None))
+            if c == "{" or c == "[":
+                at = _SPACE(s, at + 1).end()
+                listed = c == "[" or key in self.cfg.keyed and self._keyed(s, at)
+                if listed:
+                    frame = ["]" if c == "[" else "}", True, key, f"{grp}.{name}[]" if name else f"{grp}[]", node, f"{node}.{name}" if name else node, -1]
+                else:
+                    values = None
+                    if not name:
+                        values = {}
+                        self.nodes.append((node, parent, grp, ordinal, self.cfg.refs.get(key, self.cfg.refs[""]), values))
+                    frame = ["}", False, values, grp, node, parent, ordinal, name]
+                if s[at : at + 1] == frame[0]:
+                    at += 1
+                else:
+                    stack.append(frame)
+                    key, grp, node, parent, ordinal, name, new, at = self._next(s, at, frame, c == "{")
+                    continue
+            elif c == '"':
+                text, at = scanstring(s, at + 1)
+                self._note(stack, key, text)
+                if text[:1] not in ("{", "[", '"') or not self._embedded(text, key, grp, node, parent, ordinal, name):
+                    self.rows.append((grp, node, parent, ordinal, name or "value", text, "string"))
+            else:
+                m = _NUMBER(s, at)
+                if m is not None:
+                    whole = m[2] is None and m[3] is None
+                    text, kind, at = m[0] if whole else json.dumps(float(m[0])), "number", m.end()
+                    if whole:
+                        self._note(stack, key, text)
+                else:
+                    text = next((x for x in _NAMES if s.startswith(x, at)), None)
+                    if text is None:
+                        raise ValueError("no value")
+                    kind, at = _NAMES[text], at + len(text)
+                if kind:
+                    self.rows.append((grp, node, parent, ordinal, name or "value", text, kind))
+            while True:  # a value is complete, and with it perhaps what it stands in
+                at = _SPACE(s, at).end()
+                if not stack:
+                    if at < len(s):
+                        raise ValueError("text after the record")
+                    return
+                frame, c = stack[-1], s[at : at + 1]
+                if c == ",":
+                    key, grp, node, parent, ordinal, name, new, at = self._next(s, _SPACE(s, at + 1).end(), frame, frame[0] == "}")
+                    break
+                if c != frame[0]:
+                    raise ValueError("not closed")
+                stack.pop()
+                at += 1
+
+    def _next(self, s: str, at: int, frame: list, named: bool) -> tuple:
+        """Place of the next member or item of what is open, and where its text begins."""
+        k = None
+        if named:
+            k, at = self._key(s, at)
+        if frame[1]:
+            _, _, key, sub, node, base, i = frame
+            frame[6] = i = i + 1
+            return key, sub, f"{base}[{i}]", node, i, "", True, at
+        _, _, _, grp, node, parent, ordinal, name = frame
+        return k, grp, node, parent, ordinal, f"{name}.{_path_name(k)}" if name else _path_name(k), False, at
+
+    @staticmethod
+    def _note(stack: list[list], key: str, text: str) -> None:
+        """Keep a text or whole number that may be the reference of the node it stands in."""
+        if stack and not stack[-1][1] and stack[-1][2] is not None:
+            stack[-1][2][key] = text
+
+    def _embedded(self, text: str, key: str, grp: str, node: str, parent: str | None, ordinal: int, name: str) -> bool:
+        """Take a string apart that is JSON itself. True if its triples say all: of a list of plain values the text stays too."""
+        rows, nodes = len(self.rows), len(self.nodes)
+        try:
+            self.read(text, key, grp, node, parent, ordinal, name)
+        except ValueError:
+            del self.rows[rows:], self.nodes[nodes:]
+            return False
+        if text[0] == "[" and not any(n[5] is not None for n in self.nodes[nodes:]):
+            return False
+        return len(self.rows) > rows or len(self.nodes) > nodes
 
 
 def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
     """Emit (doc, grp, node, parent, ord, name, value, kind) for every leaf of a record, and a row of kind 'node' for
-    every object or item of a repeated list. The record is parsed as a whole, then walked; a stack replaces recursion in
-    both, so depth is bounded by memory alone (paths grow with it).
+    every object or item of a repeated list. The record is read token by token, what is open waits on a stack, and no tree
+    is built: depth is bounded by memory alone (paths grow with it). A record that breaks off gives nothing.
 
     grp: path with ordinals left out, down to the nearest repeated ancestor. node, parent: paths with ordinals of that
-    ancestor and of the one above it. ord: place in its list. name: path of the leaf below the node. The reference of
-    the nearest ancestor object that has one comes with every node as '^ref'.
+    ancestor and of the one above it. ord: place in its list. name: path of the leaf below the node; dots, brackets and
+    backslashes in names are escaped by a backslash. Of equal names in an object every value gives a triple; as reference
+    the last holds. The reference of the nearest ancestor object that has one comes with every node as '^ref'.
     """
+    r = _Reader(cfg)
+    r.rows.append(("$", "$", None, 0, "", None, "node"))
     try:
-        root = _parsed(record)
+        r.read(record, "", "$", "$", None, 0, "")
     except ValueError:
         return
-    if isinstance(root, str):
-        root = _embedded(root)
-    if not isinstance(root, (dict, list)):
-        return
-    # value, key it stands under, group, node, parent, ordinal, name below the node, reference above
-    stack = [(root, "", "$", "$", None, 0, "", None)]
-    emit(doc, "$", "$", None, 0, "", None, "node")
-    while stack:
-        v, key, grp, node, parent, ordinal, name, ref = stack.pop()
-        if isinstance(v, str) and (inner := _embedded(v)) is not None:
-            v = inner
-        if isinstance(v, dict) and key in cfg.keyed and v and all(isinstance(x, dict) or x is None for x in v.values()) and not any(r in v for r in ("id", "ticker")):
-            v = list(v.values())
-        if isinstance(v, dict):
-            if not name:
-                mine = next((v[r] for r in cfg.refs.get(key, cfg.refs[""]) if isinstance(v.get(r), (str, int)) and not isinstance(v.get(r), bool)), None)
-                if ref is not None:
-                    emit(doc, grp, node, parent, ordinal, "^ref", ref, "ref")
-                if mine is not None:
-                    emit(doc, grp, node, parent, ordinal, "ref", _text(mine), "ref")
-                    ref = _text(mine)
-            for k, x in reversed(v.items()):
-                stack.append((x, k, grp, node, parent, ordinal, f"{name}.{k}" if name else k, ref))
-        elif isinstance(v, list):
-            sub, at = f"{grp}.{name}[]" if name else f"{grp}[]", f"{node}.{name}" if name else node
-            for i in range(len(v) - 1, -1, -1):
-                child = f"{at}[{i}]"
-                if v[i] is None:
-                    continue
-                emit(doc, sub, child, node, i, "", None, "node")
-                stack.append((v[i], key, sub, child, node, i, "", ref))
-        elif v is not None:
-            kind = "bool" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string"
-            emit(doc, grp, node, parent, ordinal, name or "value", _text(v), kind)
+    if not r.nodes:
+        return  # a mere text or number
+    for row in r.rows:
+        emit(doc, *row)
+    known: dict[str | None, str | None] = {None: None}
+    for node, parent, grp, ordinal, names, values in r.nodes:
+        above = known.get(parent)
+        mine = next((values[n] for n in names if n in values), None) if values is not None else None
+        if values is not None and above is not None:
+            emit(doc, grp, node, parent, ordinal, "^ref", above, "ref")
+        if mine is not None:
+            emit(doc, grp, node, parent, ordinal, "ref", mine, "ref")
+        known[node] = mine if mine is not None else known.get(node) or above
 
 
 def to_triples(df: DataFrame, id_col: str, text_col: str, cfg: NestConfig = NestConfig(), keep: tuple[str, ...] | None = None) -> DataFrame:
@@ -173,13 +238,18 @@ def to_triples(df: DataFrame, id_col: str, text_col: str, cfg: NestConfig = Nest
     return rows.mapInArrow(run, TRIPLES)
 
 
+def list_name(grp: str) -> Column:
+    """Name of the list that the nodes of a group stand in; empty for records themselves and lists without a name."""
+    return F.regexp_extract(grp, r"(?:^|[.$])([^.$\[\]]*)(?:\[\])+$", 1)
+
+
 def pivot_group(t: DataFrame, last: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
     """One flat table of the nodes whose list has one of these names: doc, node, parent, ord and the given columns.
 
     columns: output name -> leaf name ('ref' the node's own reference, '^ref' that of the nearest ancestor with one).
     Optional fields that are missing are null; of a field that occurs twice the larger text holds.
     """
-    mine = t.where(F.regexp_extract("grp", r"(?:^|[.$])([^.$\[\]]*)(?:\[\])+$", 1).isin(*last))
+    mine = t.where(list_name("grp").isin(*last))
     value = [F.max(F.when(F.col("name") == leaf, F.col("value"))).alias(out) for out, leaf in columns.items()]
     return mine.groupBy("doc", "node").agg(F.max("parent").alias("parent"), F.max("ord").alias("ord"), F.max("grp").alias("grp"), *value)
 

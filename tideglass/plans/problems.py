@@ -10,7 +10,7 @@ from tideglass.operators.instants import to_instants
 from tideglass.operators.regular_grid import hourly_series
 from tideglass.operators.spikes import flag_implausible
 from tideglass.operators.trailing import volatility_features, wrong_features
-from tideglass.operators.unnest import market_refs, pivot_group, to_triples
+from tideglass.operators.unnest import list_name, market_refs, pivot_group, to_triples
 from tideglass.plans.registry import Registry
 from tideglass.session import table
 
@@ -94,15 +94,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return market_refs(_payloads(spark, d), "payload_id", "payload").select(F.col("doc").alias("payload_id"), "event_ref", "market_ref")
 
 
-EVENTS = ("events", "data", "children", "subEvents", "")
-PARTS = ("price_ranges", "tags", "series", "rebates", "clobRewards", "settlement_sources", "leg", "outcomes", "outcomePrices")
+#: Names of lists of events ('' the record itself); whatever else is repeated, beside markets, is a part.
+EVENTS = ("events", "data", "children", "subEvents", "event", "")
 
 
 @R.add()
 def p4_events(spark: SparkSession, d: str) -> DataFrame:
     """Flat events with the event above them, if any."""
-    t = to_triples(_payloads(spark, d), "payload_id", "payload")
-    t = t.where(~F.col("grp").rlike(r"(?:markets|" + "|".join(PARTS) + r")(?:\[\])+$"))
+    t = to_triples(_payloads(spark, d), "payload_id", "payload").where(list_name("grp").isin(*EVENTS))
     names = {"event_ref": "ref", "above_ref": "^ref", "title": "title", "slug": "slug", "start": "startDate", "end": "endDate", "updated": "last_updated_ts"}
     e = t.groupBy("doc", "node").agg(F.max("parent").alias("parent"), *[F.max(F.when(F.col("name") == leaf, F.col("value"))).alias(o) for o, leaf in names.items()])
     return e.where("event_ref is not null and title is not null").withColumnRenamed("doc", "payload_id")
@@ -119,11 +118,12 @@ def p4_markets(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add()
 def p4_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated parts below events and markets, one row per item and leaf, with the reference above them."""
-    t = to_triples(_payloads(spark, d), "payload_id", "payload", keep=PARTS)
-    own = t.where("kind in ('number', 'string', 'bool')").select("doc", "node", "parent", "ord", "grp", "name", "value").distinct()
-    above = t.where("name = '^ref'").select("doc", "node", F.col("value").alias("above_ref")).distinct()
-    return own.join(above, ["doc", "node"], "left").withColumnRenamed("doc", "payload_id")
+    """Every repeated part that is neither event nor market, one row per item and leaf, with the reference above it."""
+    t = to_triples(_payloads(spark, d), "payload_id", "payload").where(~list_name("grp").isin(*EVENTS, "markets"))
+    above = F.max(F.when(F.col("name") == "^ref", F.col("value")))
+    leaf = F.when(F.col("kind").isin("number", "string", "bool"), F.struct("name", "value"))
+    nodes = t.groupBy("doc", "node").agg(F.max("parent").alias("parent"), F.max("ord").alias("ord"), F.max("grp").alias("grp"), above.alias("above_ref"), F.collect_set(leaf).alias("leaves"))
+    return nodes.select("doc", "node", "parent", "ord", "grp", F.explode("leaves").alias("l"), "above_ref").select("doc", "node", "parent", "ord", "grp", "l.name", "l.value", "above_ref").withColumnRenamed("doc", "payload_id")
 
 
 _P5 = """
