@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideglass.functions.arrow import whole_groups
-from tideglass.session import broadcast_if_small
+from tideglass.session import broadcast_if_small, stored
 
 REASONS = ("range", "spike", "stuck")
 
@@ -27,7 +27,8 @@ class SpikeConfig:
     """low, high: the physical range. spike_sd: bound on standardised innovations of a lively field, in sd of its moves.
     quiet_moves: the same for a field that seldom changes, in units of the typical lasting move of the source's steadiest
     field: a last price gathers several moves of the quotes in one. longest: readings a spike
-    lasts at most. stuck: equal readings that make a frozen run. lively: share of changes from which a field counts as one
+    lasts at most. vanished: innovation variance, in units of the source's own, below which a run may be frozen (updates are
+    withheld beyond the bound, so 15 equal readings always bring it there). stuck: equal readings that make a frozen run. lively: share of changes from which a field counts as one
     that changes at nearly every reading."""
 
     low: float = 0.0
@@ -35,6 +36,7 @@ class SpikeConfig:
     spike_sd: float = 5.4
     quiet_moves: float = 3.6
     longest: int = 3
+    vanished: float = 0.25
     stuck: int = 15
     lively: float = 0.6
     block_rows: int = 8192
@@ -43,14 +45,16 @@ class SpikeConfig:
 
 
 def _blocks(df: DataFrame, cfg: SpikeConfig) -> DataFrame:
-    """Rows with their block and whether they are its core; a row near an edge also goes to the neighbour as halo.
+    """Rows with their block and whether they are its core; a row near an edge also goes to the neighbour as halo. Rows
+    without source or time go to blocks below 0 by their id.
 
     Only sources of over two blocks are cut, along a histogram by time bucket, so the cut points come from aggregates.
     """
-    big = df.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * cfg.block_rows).select("src")
-    big = broadcast_if_small(big)
+    known = F.col("src").isNotNull() & F.col("ts").isNotNull()
+    sizes = stored(df.where(known).groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * cfg.block_rows).select("src"), "big-sources")
+    big = broadcast_if_small(sizes)
     bucket = F.floor(F.unix_seconds("ts") / cfg.bucket_s)
-    hist = df.join(big, "src", "left_semi").groupBy("src", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    hist = df.where(known).join(big, "src", "left_semi").groupBy("src", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("src").orderBy("bucket")
     hist = hist.withColumn("c1", F.sum("n").over(by)).withColumn("c0", F.col("c1") - F.col("n"))
     hist = hist.withColumn("block", F.dense_rank().over(Window.partitionBy("src").orderBy(F.floor(F.col("c0") / cfg.block_rows))))
@@ -67,10 +71,11 @@ def _blocks(df: DataFrame, cfg: SpikeConfig) -> DataFrame:
             )
         ),
     ).select("src", "bucket", "blocks")
-    hist = broadcast_if_small(hist)
+    hist = broadcast_if_small(stored(hist, "blocks"))
     out = df.withColumn("bucket", bucket).join(hist, ["src", "bucket"], "left")
+    loose = F.array(F.struct((-1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))).cast("int").alias("block"), F.lit(True).alias("core")))
     whole = F.array(F.struct(F.lit(0).alias("block"), F.lit(True).alias("core")))
-    return out.withColumn("b", F.explode(F.coalesce("blocks", whole))).select("src", F.col("b.block").alias("block"), F.col("b.core").alias("core"), *[c for c in df.columns if c != "src"])
+    return out.withColumn("b", F.explode(F.when(~known, loose).otherwise(F.coalesce("blocks", whole)))).select("src", F.col("b.block").alias("block"), F.col("b.core").alias("core"), *[c for c in df.columns if c != "src"])
 
 
 def _median_by(series: np.ndarray, x: np.ndarray, n: int, q: float = 0.5) -> np.ndarray:
@@ -132,7 +137,9 @@ def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig, f
     sd = np.where(usable & (sd > 0), sd, np.inf)
     calm = np.where(quiet & (nm >= 2), sd, np.inf).reshape(fields, -1).min(axis=0)
     sd = np.where((count >= 8) & quiet, np.minimum(sd, np.tile(calm, fields)), sd)
-    sd = np.where((count >= 8) & quiet & ~np.isfinite(sd), 0.004, sd)  # never moves otherwise
+    # a field that never moves otherwise is held against its source's steadiest field; where none moves, any excursion counts
+    least = np.tile(np.where(count >= 8, sd, np.inf).reshape(fields, -1).min(axis=0), fields)
+    sd = np.where((count >= 8) & quiet & ~np.isfinite(sd), np.where(np.isfinite(least), least, 1e-9), sd)
     bound = np.where(quiet, cfg.quiet_moves, cfg.spike_sd) * sd
     # noise share from the lag-one covariance of clipped moves: r = -cov, steady-state gain of the local-level model
     c = np.clip(np.where(np.isfinite(sd[series]), dx / sd[series], 0.0), -4, 4)
@@ -195,9 +202,11 @@ def filter_series(series: np.ndarray, v: np.ndarray, n: int, cfg: SpikeConfig, f
                 i = before + 1 + j
                 dev = np.minimum(np.abs(v[i] - v[before]), np.abs(v[i] - v[q]))
                 flag[i[dev >= bound[series[i]]]] = 2
-    # innovation variance that vanishes in a field that otherwise changes at nearly every reading; exactly: equal readings
-    end = np.cumsum(length) - 1
-    gone = (length >= cfg.stuck) & lively[series[end]] & (frozen[end] < 0.25)
+    # where the innovation variance of a field that otherwise changes at nearly every reading has vanished, a run may be
+    # stuck; exactly: at least ``stuck`` equal readings, all but the first
+    gone = np.zeros(len(length), bool)
+    gone[run[np.flatnonzero((frozen < cfg.vanished) & lively[series])]] = True
+    gone &= length >= cfg.stuck
     flag[gone[run] & ~new & (flag == 0)] = 3
     return flag, level, score
 
@@ -217,7 +226,7 @@ def _flag_table(t: pa.Table, fields: int, cfg: SpikeConfig) -> pa.Table:
         keep = np.flatnonzero(~np.isnan(x) & ~again)
         off = (x[keep] < cfg.low) | (x[keep] > cfg.high)
         ranged.append((keep[off], np.full(off.sum(), f)))
-        keep = keep[~off]
+        keep = keep[~off & (block[keep] >= 0)]
         series.append(group[keep] + f * n)
         values.append(x[keep])
         rows.append(keep)
@@ -235,7 +244,7 @@ def _flag_table(t: pa.Table, fields: int, cfg: SpikeConfig) -> pa.Table:
     for f in range(fields):
         value[field == f] = t[f"f{f}"].to_numpy()[row[field == f]]
     null = lambda x: pa.array(x, mask=np.isnan(x))
-    return pa.table({"id": ids[row], "src": src.take(pa.array(row)), "field": field.astype(np.int32), "reason": reason.astype(np.int32), "value": value, "level": null(level[mine]), "score": null(score[mine])})
+    return pa.table({"id": ids[row], "src": pc.if_else(t["named"].combine_chunks().take(pa.array(row)), src.take(pa.array(row)), pa.scalar(None, pa.string())), "field": field.astype(np.int32), "reason": reason.astype(np.int32), "value": value, "level": null(level[mine]), "score": null(score[mine])})
 
 
 def flag_implausible(df: DataFrame, id_col: str, source_col: str, ts_col: str, fields: list[str], cfg: SpikeConfig = SpikeConfig()) -> DataFrame:
@@ -253,8 +262,8 @@ def flag_implausible(df: DataFrame, id_col: str, source_col: str, ts_col: str, f
     """
     vals = [F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fields)]
     base = df.where(F.col(id_col).isNotNull()).select(F.col(source_col).cast("string").alias("src"), F.col(ts_col).alias("ts"), F.col(id_col).cast("long").alias("id"), *vals)
-    known = base.where(F.col("src").isNotNull() & F.col("ts").isNotNull())
-    parts = _blocks(known, cfg).withColumn("ts", F.unix_micros("ts")).repartition("src", "block").sortWithinPartitions("src", "block", "ts", "id")
+    parts = _blocks(base, cfg).withColumn("named", F.col("src").isNotNull()).withColumn("src", F.coalesce("src", F.lit("")))
+    parts = parts.withColumn("ts", F.unix_micros("ts")).repartition("src", "block").sortWithinPartitions("src", "block", "ts", "id")
     k = len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,11 +274,7 @@ def flag_implausible(df: DataFrame, id_col: str, source_col: str, ts_col: str, f
     found = parts.mapInArrow(run, schema)
     names, reasons = F.array(*map(F.lit, fields)), F.array(*map(F.lit, REASONS))
     found = found.select("id", "src", names[F.col("field")].alias("field"), reasons[F.col("reason") - 1].alias("reason"), "value", "level", "score")
-    loose = base.where(F.col("src").isNull() | F.col("ts").isNull())
-    loose = loose.select("id", "src", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"f{i}").alias("value")) for i, f in enumerate(fields)])).alias("r"))
-    off = ((F.col("r.value") < cfg.low) | (F.col("r.value") > cfg.high)) & ~F.isnan("r.value")
-    loose = loose.where(off).select("id", "src", "r.field", F.lit("range").alias("reason"), "r.value", F.lit(None).cast("double").alias("level"), F.lit(None).cast("double").alias("score"))
-    both = found.unionByName(loose).dropDuplicates(["id", "field"])
+    both = found.dropDuplicates(["id", "field"])
     return both.select(F.col("id").alias(id_col), F.col("src").alias(source_col), "field", "reason", "value", "level", "score")
 
 

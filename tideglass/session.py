@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many (narrow) rows.
 BROADCAST_ROWS = 400_000
+#: And this many bytes.
+BROADCAST_BYTES = 48 << 20
 
 
 def local_session(app: str = "tideglass", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -72,9 +74,13 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most that many rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it is counted to have at most that many rows and, by the lengths of its texts and the
+    width of its other columns, bytes; else as it is, for a shuffle join."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"]
+    width = 16 + sum(64 if t[:5] in ("array", "struc", "map<s") else 16 for _, t in df.dtypes)
+    n, chars = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and n * width + chars <= size else df
 
 
 def salted(keys: list[str], df: DataFrame, per_salt: int, n: str = "_n") -> DataFrame:
