@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("problems", "bars", "vol", "pairs", "forecasts", "quotes", "texts", "studies", "basics")
+GROUPS = ("problems", "bars", "vol", "pairs", "forecasts", "quotes", "texts", "studies", "basics", "feeds", "panels")
 
 
 def registries() -> list:
