@@ -51,11 +51,26 @@ def _skip(s: str, at: int) -> int:
             return at
 
 
+_OPENING = frozenset('{["')
+
+
+class _Wanted(dict):
+    """Whether a group is asked for, by the names its lists may have; each group is looked at once."""
+
+    def __init__(self, tails: tuple[str, ...] | None) -> None:
+        self.tails = tails
+
+    def __missing__(self, grp: str) -> bool:
+        self[grp] = out = self.tails is None or grp.endswith(self.tails)
+        return out
+
+
 class _Reader:
     """Reads one record token by token and keeps triples, with a stack of what is open; no tree of it is built."""
 
-    def __init__(self, cfg: NestConfig) -> None:
+    def __init__(self, cfg: NestConfig, tails: tuple[str, ...] | None = None) -> None:
         self.cfg = cfg
+        self.wanted = _Wanted(tails)
         self.rows: list[tuple] = []
         self.nodes: list[tuple] = []  # node, parent, group, ordinal, names that may be its reference, their values (None: no object)
 
@@ -87,13 +102,15 @@ class _Reader:
 
     def read(self, s: str, key: str, grp: str, node: str, parent: str | None, ordinal: int, name: str) -> None:
         """One whole JSON text whose value stands at that place; ValueError if it is not complete."""
+        wanted, keep = self.wanted, self.rows.append
         new = False  # whether the value to come is an item of a list, which makes a node of its own unless it is null
         stack: list[list] = []
         at = _SPACE(s, 0).end()
         while True:
             c = s[at : at + 1]
             if new and not s.startswith("null", at):
-                self.rows.append((grp, node, parent, ordinal, "", None, "node"))
+                if wanted[grp]:
+                    keep((grp, node, parent, ordinal, "", None, "node"))
                 if c != "{":
                     self.nodes.append((node, parent, grp, ordinal, (), None))
             if c == "{" or c == "[":
@@ -115,23 +132,25 @@ class _Reader:
                     continue
             elif c == '"':
                 text, at = scanstring(s, at + 1)
-                self._note(stack, key, text)
-                if text[:1] not in ("{", "[", '"') or not self._embedded(text, key, grp, node, parent, ordinal, name):
-                    self.rows.append((grp, node, parent, ordinal, name or "value", text, "string"))
+                if stack and not stack[-1][1] and stack[-1][2] is not None:
+                    stack[-1][2][key] = text
+                if text[:1] not in _OPENING or not self._embedded(text, key, grp, node, parent, ordinal, name):
+                    if wanted[grp]:
+                        keep((grp, node, parent, ordinal, name or "value", text, "string"))
             else:
                 m = _NUMBER(s, at)
                 if m is not None:
                     whole = m[2] is None and m[3] is None
                     text, kind, at = m[0] if whole else json.dumps(float(m[0])), "number", m.end()
-                    if whole:
-                        self._note(stack, key, text)
+                    if whole and stack and not stack[-1][1] and stack[-1][2] is not None:
+                        stack[-1][2][key] = text
                 else:
                     text = next((x for x in _NAMES if s.startswith(x, at)), None)
                     if text is None:
                         raise ValueError("no value")
                     kind, at = _NAMES[text], at + len(text)
-                if kind:
-                    self.rows.append((grp, node, parent, ordinal, name or "value", text, kind))
+                if kind and wanted[grp]:
+                    keep((grp, node, parent, ordinal, name or "value", text, kind))
             while True:  # a value is complete, and with it perhaps what it stands in
                 at = _SPACE(s, at).end()
                 if not stack:
@@ -159,15 +178,11 @@ class _Reader:
         _, _, _, grp, node, parent, ordinal, name = frame
         return k, grp, node, parent, ordinal, f"{name}.{_path_name(k)}" if name else _path_name(k), False, at
 
-    @staticmethod
-    def _note(stack: list[list], key: str, text: str) -> None:
-        """Keep a text or whole number that may be the reference of the node it stands in."""
-        if stack and not stack[-1][1] and stack[-1][2] is not None:
-            stack[-1][2][key] = text
-
     def _embedded(self, text: str, key: str, grp: str, node: str, parent: str | None, ordinal: int, name: str) -> bool:
         """Take a string apart that is JSON itself. True if its triples say all: of a list of plain values the text stays too."""
         rows, nodes = len(self.rows), len(self.nodes)
+        if text[0] == "[" and text.rstrip()[-1:] != "]" or text[0] == "{" and text.rstrip()[-1:] != "}":
+            return False
         try:
             self.read(text, key, grp, node, parent, ordinal, name)
         except ValueError:
@@ -178,7 +193,7 @@ class _Reader:
         return len(self.rows) > rows or len(self.nodes) > nodes
 
 
-def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
+def triples(doc: int, record: str, cfg: NestConfig, emit, tails: tuple[str, ...] | None = None) -> None:
     """Emit (doc, grp, node, parent, ord, name, value, kind) for every leaf of a record, and a row of kind 'node' for
     every object or item of a repeated list. The record is read token by token, what is open waits on a stack, and no tree
     is built: depth is bounded by memory alone (paths grow with it). A record that breaks off gives nothing.
@@ -186,10 +201,11 @@ def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
     grp: path with ordinals left out, down to the nearest repeated ancestor. node, parent: paths with ordinals of that
     ancestor and of the one above it. ord: place in its list. name: path of the leaf below the node; dots, brackets and
     backslashes in names are escaped by a backslash. Of equal names in an object every value gives a triple; as reference
-    the last holds. The reference of the nearest ancestor object that has one comes with every node as '^ref'.
+    the last holds. tails: endings of the groups asked for. The reference of the nearest ancestor object that has one comes with every node as '^ref'.
     """
-    r = _Reader(cfg)
-    r.rows.append(("$", "$", None, 0, "", None, "node"))
+    r = _Reader(cfg, tails)
+    if r.wanted["$"]:
+        r.rows.append(("$", "$", None, 0, "", None, "node"))
     try:
         r.read(record, "", "$", "$", None, 0, "")
     except ValueError:
@@ -202,9 +218,9 @@ def triples(doc: int, record: str, cfg: NestConfig, emit) -> None:
     for node, parent, grp, ordinal, names, values in r.nodes:
         above = known.get(parent)
         mine = next((values[n] for n in names if n in values), None) if values is not None else None
-        if values is not None and above is not None:
+        if values is not None and above is not None and r.wanted[grp]:
             emit(doc, grp, node, parent, ordinal, "^ref", above, "ref")
-        if mine is not None:
+        if mine is not None and r.wanted[grp]:
             emit(doc, grp, node, parent, ordinal, "ref", mine, "ref")
         known[node] = mine if mine is not None else known.get(node) or above
 
@@ -224,11 +240,10 @@ def to_triples(df: DataFrame, id_col: str, text_col: str, cfg: NestConfig = Nest
             out: list[tuple] = []
 
             def emit(*row) -> None:
-                if tails is None or row[1].endswith(tails):
-                    out.append(row)
+                out.append(row)
 
             for doc, t in zip(b["doc"].to_pylist(), b["t"].to_pylist()):
-                triples(doc, t, cfg, emit)
+                triples(doc, t, cfg, emit, tails)
                 if len(out) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                     out.clear()
