@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from tideglass.functions import vectors as V
 from tideglass.functions.num import clip, log_ndtr, ndtr
 from tideglass.operators.vol import features, forward_extremes
+from tideglass.session import stored
 
 # Fixed value: the discrete-monitoring shift of Broadie, Glasserman and Kou.
 BGK = 0.5826
@@ -100,9 +101,9 @@ def closed_forms(u: DataFrame) -> DataFrame:
     return d.withColumn("naive_2x", F.least(2 * F.when(F.col("direction") > 0, F.col("_p")).otherwise(1 - F.col("_p")), F.lit(1.0))).drop("_d", "_p")
 
 
-def base_rates(u: DataFrame, cutoff: int) -> DataFrame:
-    """Share of touches by horizon, direction and distance among contracts resolved before the cutoff."""
-    return u.where(F.col("resolve") < cutoff).groupBy("horizon_d", "direction", "z").agg(F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n"))
+def base_rates(u: DataFrame) -> DataFrame:
+    """Share of touches by horizon, direction and distance among all contracts."""
+    return u.groupBy("horizon_d", "direction", "z").agg(F.avg("label").alias("rate"), F.count(F.lit(1)).alias("n"))
 
 
 def base_rates_by_fold(u: DataFrame, fold_h: int) -> DataFrame:
@@ -136,15 +137,16 @@ def har_rows(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
     return f.select("asset", "h", "y.horizon_d", *[log(F.col(c)).alias(f"x{i}") for i, c in enumerate(("rv1", "rv7", "rvl"), 1)], log(F.col("y.v")).alias("target"), (F.col("h") + 24 * F.col("y.horizon_d")).alias("resolve"))
 
 
-def fit_har(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Least squares per group of keys by normal equations: the sums are aggregated, 4x4 systems are solved per group.
-
-    keys, c0..c3 and the residual spread (ddof 0).
-    """
+def har_sums(rows: DataFrame, keys: list) -> DataFrame:
+    """The sums of the normal equations by keys."""
     xs = [F.lit(1.0), F.col("x1"), F.col("x2"), F.col("x3")]
     sums = [F.sum(xs[i] * xs[j]).alias(f"s{i}{j}") for i in range(4) for j in range(i, 4)]
     sums += [F.sum(x * F.col("target")).alias(f"b{i}") for i, x in enumerate(xs)] + [F.sum(F.col("target") ** 2).alias("yy")]
-    total = rows.groupBy(*keys).agg(*sums)
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def solve_har(total: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, c0..c3, the residual spread (ddof 0) and the number of rows from the sums of the normal equations."""
     kinds = {f.name: f.dataType.simpleString() for f in total.schema}
 
     def solve(it):
@@ -161,6 +163,11 @@ def fit_har(rows: DataFrame, keys: list[str]) -> DataFrame:
     return total.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", c0 double, c1 double, c2 double, c3 double, spread double, n long")
 
 
+def fit_har(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Least squares per group of keys by normal equations: the sums are aggregated, 4x4 systems are solved per group."""
+    return solve_har(har_sums(rows, keys), keys)
+
+
 def mixture(nodes: int = 15):
     """Vectorised UDF of (s0, k, t, direction, log median of the daily variance, its spread): the closed form averaged
     over a log-normal variance by Gauss-Hermite nodes."""
@@ -181,18 +188,19 @@ def mixture(nodes: int = 15):
 def walk_forward(grid: DataFrame, cfg: TouchConfig) -> DataFrame:
     """Contracts of every fold but those without enough training, priced from what was resolved before the fold began.
 
-    Parameters of all folds are fitted in one aggregation each: a training row joins the folds that start after it.
+    Every training row is counted once, by the first fold that knows it; a fold's parameters come from the sums of all folds
+    up to it, so the work does not grow with folds times history. Contracts are written once, as they are read three times.
     """
-    u = closed_forms(universe(grid, cfg)).persist()  # read four times below; a lost part is computed again
-    folds = u.select("fold").distinct().withColumn("cutoff", F.col("fold") * cfg.fold_h)
-    # folds are a handful of calendar periods
-    folds = F.broadcast(folds)
+    u = stored(universe(grid, cfg), "contracts")
+    folds = F.broadcast(u.select("fold").distinct())  # a handful of calendar periods
     design = har_rows(grid, cfg).where((F.col("h") - cfg.warmup_h) % 24 == 0)
-    train = design.join(folds, design["resolve"] <= folds["cutoff"])
-    fits = fit_har(train, ["fold", "horizon_d"]).where("n >= 10").select("fold", "horizon_d", "c0", "c1", "c2", "c3", "spread")
-    enough = u.select("resolve").join(folds, F.col("resolve") < F.col("cutoff")).groupBy("fold").count().where(F.col("count") >= cfg.least_train).select("fold")
-    past = u.select("horizon_d", "direction", "z", "label", "resolve").join(folds, F.col("resolve") < F.col("cutoff"))
-    rates = past.groupBy("fold", "horizon_d", "direction", "z").agg(F.avg("label").alias("base_rate"))
+    by_known = har_sums(design, ["horizon_d", F.ceil(F.col("resolve") / cfg.fold_h).cast("int").alias("known")])
+    upto = by_known.join(folds, F.col("known") <= F.col("fold")).groupBy("fold", "horizon_d").agg(*[F.sum(c).alias(c) for c in by_known.columns if c not in ("horizon_d", "known")])
+    fits = solve_har(upto, ["fold", "horizon_d"]).where("n >= 10").select("fold", "horizon_d", "c0", "c1", "c2", "c3", "spread")
+    known = F.floor(F.col("resolve") / cfg.fold_h) + 1
+    enough = u.groupBy(known.alias("known")).agg(F.count(F.lit(1)).alias("c")).join(folds, F.col("known") <= F.col("fold")).groupBy("fold").agg(F.sum("c").alias("c")).where(F.col("c") >= cfg.least_train).select("fold")
+    rates = base_rates_by_fold(u, cfg.fold_h).where("fold is not null").select("fold", "horizon_d", "direction", "z", F.col("rate").alias("base_rate"))
+    u = closed_forms(u)
     out = u.join(F.broadcast(enough), "fold").join(F.broadcast(fits), ["fold", "horizon_d"]).join(F.broadcast(rates), ["fold", "horizon_d", "direction", "z"], "left")
     log = lambda c: F.log(F.greatest(F.col(c), F.lit(SMALL)))
     med = F.col("c0") + F.col("c1") * log("rv1") + F.col("c2") * log("rv7") + F.col("c3") * log("rvl")

@@ -56,6 +56,15 @@ def loss_clusters(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("s", F.round("s", 8))
 
 
+@R.add(f"{_F}, dl as (select model_id, week, -(y * ln(q) + (1 - y) * ln(1 - q)) - 0.6931471805599453 as x from s where week is not null) select model_id, round(sum(x) / count(*), 8) as diff, count(distinct week) as clusters, count(*) as n from dl group by 1")
+def loss_points(spark: SparkSession, d: str) -> DataFrame:
+    """Mean loss against a coin's from the sums by week that the bootstrap draws from."""
+    f = forecasts(spark, d).where("week is not null")
+    c = S.cluster_sums(f, log_loss(F.col("p"), F.col("y").cast("double")), F.lit(0.6931471805599453), "week", ["model_id"])
+    total = [n for n in c.columns if n not in ("model_id", "week")]
+    return c.groupBy("model_id").agg(F.round(F.sum(total[0]) / F.sum(total[1]), 8).alias("diff"), F.count(F.lit(1)).alias("clusters"), F.sum(total[1]).alias("n"))
+
+
 @R.add()
 def loss_diff(spark: SparkSession, d: str) -> DataFrame:
     """Mean loss against a coin's with a week-clustered interval."""

@@ -112,7 +112,17 @@ def barrier_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("label"), 8).alias("label_mean"), F.round(F.avg("held"), 6).alias("held"))
 
 
-@R.add()
+_Q = 1e-4 / (1 - 1e-4)
+
+
+@R.add(
+    f"""{_ROWS.replace("with ", "with recursive ", 1)}, sd as (select pair, regr_slope(a, b) as h0, regr_intercept(a, b) as c0 from p group by 1),
+    k(pair, i, h, c, p11, p12, p22) as (select sd.pair, -1::bigint, h0, c0, 1.0::double - {_Q}, 1.0::double, 1.0::double - {_Q} from sd
+        union all select k.pair, k.i + 1, k.h + (p11 + {_Q}) * g.b * g.e / g.v + p12 * g.e / g.v, k.c + (p12 * g.b + p22 + {_Q}) * g.e / g.v,
+            (p11 + {_Q}) - pow((p11 + {_Q}) * g.b + p12, 2) / g.v, p12 - ((p11 + {_Q}) * g.b + p12) * (p12 * g.b + p22 + {_Q}) / g.v, (p22 + {_Q}) - pow(p12 * g.b + p22 + {_Q}, 2) / g.v
+        from k join rw on rw.pair = k.pair and rw.i = k.i + 1, lateral (select rw.b as b, rw.a - k.h * rw.b - k.c as e, (k.p11 + {_Q}) * rw.b * rw.b + 2 * k.p12 * rw.b + k.p22 + {_Q} + 1e-3 as v) g)
+    select k.pair, k.i::int as i, round(k.h, 6) as h, round(k.c, 6) as c, round(rw.a - k.h * rw.b, 6) as spread from k join rw on rw.pair = k.pair and rw.i = k.i where k.i >= 0"""
+)
 def kalman_hedge(spark: SparkSession, d: str) -> DataFrame:
     k = P.kalman_hedge(_rows(spark, d))
     return k.select("pair", "i", F.round("h", 6).alias("h"), F.round("c", 6).alias("c"), F.round("spread", 6).alias("spread"))

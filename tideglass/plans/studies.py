@@ -105,12 +105,26 @@ def history_touch(spark: SparkSession, d: str) -> DataFrame:
     return M.history_touch(_hourly_returns(spark, d), "asset", "bar", "r", 24, (-0.02, 0.02)).withColumn("probability", F.round("probability", 6))
 
 
-@R.add()
+_HOURLY = f"with c as ({CANDLES_SQL}), h as (select asset, epoch_us(ts) // 3600000000 as h, arg_max(close, ts) as close from c group by 1, 2), r as (select * from (select asset, ln(close) - lag(ln(close)) over (partition by asset order by h) as r from h) where r is not null)"
+
+
+@R.add(
+    f"""{_HOURLY}, m as (select asset, quantile_cont(r, 0.5) as m from r group by 1), a as (select r.asset, r, abs(r - m) as d from r join m using (asset)), s as (select asset, quantile_cont(d, 0.5) * 1.4826 as s from a group by 1),
+    b as (select a.*, d > 4.5 * s as j from a join s using (asset)), g as (select asset, count(*) as n, count(*) filter (where j) as jumps, stddev_samp(r) filter (where not j) as calm, stddev_samp(r) as every, avg(r) filter (where j) as mean, stddev_samp(r) filter (where j) as sd from b group by 1)
+    select asset, n, case when jumps >= 3 then jumps else 0 end as jumps, round(case when jumps >= 3 then calm else every end * sqrt(8760), 6) as sigma, round(case when jumps >= 3 then jumps * 8760.0 / n else 0 end, 6) as rate, round(case when jumps >= 3 then mean else 0 end, 6) as jump_mean, round(case when jumps >= 3 then sd else 0 end, 6) as jump_sd from g"""
+)
 def jump_split(spark: SparkSession, d: str) -> DataFrame:
     j = M.jump_split(_hourly_returns(spark, d), "asset", "r", 1 / 8760)
     return j.select("asset", "n", "jumps", *[F.round(c, 6).alias(c) for c in ("sigma", "rate", "jump_mean", "jump_sd")])
 
 
+@R.add(f"{_HOURLY} select asset, count(*) as n, round(3 + count(*) / 2, 6) as alpha, round(1e-4 + sum(r * r) / 2, 9) as beta, round((1e-4 + sum(r * r) / 2) / (2 + count(*) / 2), 9) as variance from r group by 1")
+def variance_state(spark: SparkSession, d: str) -> DataFrame:
+    """State and mean of the inverse-gamma belief about each asset's variance."""
+    b = M.variance_belief(_hourly_returns(spark, d), "asset", "r")
+    return b.select("asset", "n", F.round("alpha", 6).alias("alpha"), *[F.round(c, 9).alias(c) for c in ("beta", "variance")])
+
+
 @R.add()
 def variance_belief(spark: SparkSession, d: str) -> DataFrame:
     b = M.variance_belief(_hourly_returns(spark, d), "asset", "r")

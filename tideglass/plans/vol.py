@@ -160,9 +160,9 @@ def universe_labels(spark: SparkSession, d: str) -> DataFrame:
     return u.select("asset", "anchor", "horizon_d", "z", "direction", F.round("k", 6).alias("k"), "label", "resolve")
 
 
-@R.add(f"with {_UNI} select horizon_d, direction, z, round(avg(label), 9) as rate, count(*) as n from u where resolve < 1000 group by 1, 2, 3")
+@R.add(f"with {_UNI} select horizon_d, direction, z, round(avg(label), 9) as rate, count(*) as n from u group by 1, 2, 3")
 def base_rates(spark: SparkSession, d: str) -> DataFrame:
-    return T.base_rates(T.universe(_grid(spark, d), CFG), 1000).withColumn("rate", F.round("rate", 9))
+    return T.base_rates(T.universe(_grid(spark, d), CFG)).withColumn("rate", F.round("rate", 9))
 
 
 @R.add(
@@ -202,6 +202,21 @@ def terminal_naive(spark: SparkSession, d: str) -> DataFrame:
     return u.groupBy("horizon_d", "z", "direction").agg(F.round(F.avg(above), 7).alias("above"), F.round(F.avg(straight), 7).alias("straight"), F.count(F.lit(1)).alias("n"))
 
 
+_SCORED = f"{_FORMS}, longs as (unpivot (select label, naive_2x, gbm_trailing30, gbm_rv7 from p) on naive_2x, gbm_trailing30, gbm_rv7 into name model value q), cut as (select *, least(greatest(q, 1e-6), 1 - 1e-6) as cl from longs)"
+
+
+@R.add(
+    f"""with {_SCORED}, scores as (select model, count(*) as n, avg(-(label * ln(cl) + (1 - label) * ln(1 - cl))) as log_loss, avg(pow(q - label, 2)) as brier from cut group by 1)
+    select model, n, round(log_loss, 6) as log_loss, round(brier, 6) as brier, round(1 - brier / (select brier from scores where model = 'naive_2x'), 5) as skill from scores"""
+)
+def score_closed_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the models that need no fit, over all contracts."""
+    from tideglass.operators.scoring import score_models
+
+    s = score_models(T.closed_forms(T.universe(_grid(spark, d), CFG)), ("naive_2x", "gbm_trailing30", "gbm_rv7"), "label", "naive_2x", [])
+    return s.select("model", "n", F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"), F.round("skill", 5).alias("skill"))
+
+
 @R.add()
 def har_fit(spark: SparkSession, d: str) -> DataFrame:
     """Log variance regression per horizon."""
