@@ -230,6 +230,18 @@ def chunks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return got.where(F.length(F.trim(F.regexp_replace("body", r"\s", ""))) > 0).withColumn("n_chars", F.length("body"))
 
 
+def notebook_chunks(books: DataFrame, book: str, text: str) -> DataFrame:
+    """book, idx, kind, heading, body: the cells of notebooks (JSON with ``cells``) that are not empty, under their place in
+    the book and the last heading at or before them. Null and broken books give none."""
+    cells = F.from_json(F.get_json_object(text, "$.cells"), "array<struct<cell_type:string,source:array<string>>>")
+    c = books.where(F.col(book).isNotNull()).select(F.col(book).alias("book"), F.posexplode(cells).alias("idx", "c"))
+    c = c.select("book", "idx", F.col("c.cell_type").alias("kind"), F.array_join("c.source", "").alias("body"))
+    mine = F.regexp_extract("body", r"(?m)^#{1,6}\s+(\S.*)$", 1)
+    by = Window.partitionBy("book").orderBy("idx")  # the cells of one book
+    head = F.last(F.when((F.col("kind") == "markdown") & (mine != ""), mine), ignorenulls=True).over(by)
+    return c.withColumn("heading", head).where(F.trim(F.regexp_replace("body", r"\s", "")) != "").select(F.col("book").alias(book), "idx", "kind", "heading", "body")
+
+
 def digests(docs: DataFrame, doc_id: str, text: str, per: int = 1000) -> DataFrame:
     """bucket, digest: a hash of the hashes of each ``per`` ids in order, so that no group outgrows a task."""
     each = docs.where(F.col(doc_id).isNotNull()).select(F.floor(F.col(doc_id) / per).alias("bucket"), F.col(doc_id).alias("d"), F.sha2(F.concat(F.col(doc_id).cast("string"), F.lit("|"), F.coalesce(text, F.lit(""))), 256).alias("x"))

@@ -159,3 +159,25 @@ def cached_minutes(spark: SparkSession, d: str) -> DataFrame:
     """Minute bars of ticks, written once to the shared folder and read from there."""
     b = stored(time_bars(ticks(spark, d), 60), "minute-bars")
     return b.select("asset", F.floor(F.unix_seconds("bar") / 60).alias("minute"), F.col("n_trades").alias("n"))
+
+
+_MON = "case regexp_extract(native_id, '-(\\d{2})([A-Z]{3})', 2) " + " ".join(f"when '{m}' then '{i:02d}'" for i, m in enumerate(S.MONTHS, 1)) + " end"
+
+
+@R.add(
+    f"""select market_id, coalesce('fomc-20' || regexp_extract(native_id, '-(\\d{{2}})([A-Z]{{3}})', 1) || '-' || {_MON}, 'fomc-' || strftime(close_time at time zone 'UTC', '%Y-%m')) as meeting,
+    case when lower(outcome_label) = 'no change' then 0 when outcome_label like '%bps decrease' then -regexp_extract(outcome_label, '^(\\d+)', 1)::int when outcome_label like '%bps increase' then regexp_extract(outcome_label, '^(\\d+)', 1)::int end as bps, count(*) as rows
+    from market where kind in ('bucket', 'threshold') and market_id is not null group by all"""
+)
+def meeting_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts of both venues under one key a meeting, and the basis points their labels stand for."""
+    m = table(spark, d, "market").where("kind in ('bucket', 'threshold') and market_id is not null")
+    m = m.select("market_id", S.meeting_key(F.col("native_id"), F.col("close_time")).alias("meeting"), S.bucket_bps(F.col("outcome_label")).alias("bps"))
+    return m.groupBy("market_id", "meeting", "bps").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@R.add("select market_id, case when max(last_price) filter (where last_price between 0 and 1) > 0.99 then true when max(last_price) filter (where last_price between 0 and 1) < 0.01 then false end as outcome from market_snapshot where market_id is not null group by 1")
+def told_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What each contract's highest last price would tell of its outcome, had it closed there."""
+    q = table(spark, d, "market_snapshot").where("market_id is not null").groupBy("market_id").agg(F.max(F.when(F.col("last_price").between(0, 1), F.col("last_price"))).alias("p"))
+    return q.select("market_id", S.settled(F.lit(True), F.col("p")).alias("outcome"))

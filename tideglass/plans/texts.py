@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideglass.operators import search as S
 from tideglass.operators import transcripts as T
 from tideglass.plans.registry import Registry
-from tideglass.session import table
+from tideglass.session import broadcast_if_small, table
 
 R = Registry()
 _TOK = "k as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as k from documents), w as (select doc_id, unnest(k) as w from k), tf as (select doc_id, w, count(*) as tf from w group by 1, 2), dl as (select doc_id, len(k) as dl from k), st as (select count(*) as n, avg(dl) as mean from dl), df as (select w, count(*) as df from tf group by 1)"
@@ -66,13 +66,13 @@ def _relevant(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d).select(F.col("doc_id").alias("doc"), F.array_distinct(S.tokens(F.col("text"))).alias("k"))
     words = items.select("query", F.size("q").alias("m"), F.explode("q").alias("w"))
     # a document with nine tenths of the words has one of the rarest tenth plus one: only those are joined
-    df = docs.select(F.explode("k").alias("w")).join(F.broadcast(words.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    df = docs.select(F.explode("k").alias("w")).join(broadcast_if_small(words.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window
 
-    rare = words.join(F.broadcast(df), "w", "left").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "w"))).where(F.col("r") <= F.floor(F.col("m") * 0.1) + 1)
+    rare = words.join(df, "w", "left").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.coalesce("n", F.lit(0)), "w"))).where(F.col("r") <= F.floor(F.col("m") * 0.1) + 1)
     # the stated items are a fixed, small table
-    pairs = docs.select("doc", F.explode("k").alias("w")).join(F.broadcast(rare.select("query", "w")), "w").select("query", "doc").distinct()
-    both = pairs.join(F.broadcast(items), "query").join(docs, "doc")
+    pairs = docs.select("doc", F.explode("k").alias("w")).join(broadcast_if_small(rare.select("query", "w")), "w").select("query", "doc").distinct()
+    both = pairs.join(broadcast_if_small(items), "query").join(docs, "doc")
     return both.where(F.size(F.array_intersect("q", "k")) >= 0.9 * F.size("q")).select("query", "doc")
 
 
@@ -166,3 +166,21 @@ def jaccard_links(spark: SparkSession, d: str) -> DataFrame:
 @R.add()
 def merge_findings(spark: SparkSession, d: str) -> DataFrame:
     return T.merge_findings(table(spark, d, "eval_item"), "category", "item_id", "text", "suite")
+
+
+_CELLS = "cl as (select source, doc_id, row_number() over (partition by source, doc_id // 50 order by doc_id) - 1 as idx, doc_id // 50 as part, case when doc_id % 5 = 0 then '# ' || coalesce(lang, 'none') when doc_id % 7 = 0 then '  ' else split_part(text, chr(10), 1) end as body, case when doc_id % 5 = 0 then 'markdown' else 'code' end as kind from documents where text is not null and source is not null)"
+
+
+@R.add(
+    f"""with {_CELLS}, hd as (select *, last_value(case when kind = 'markdown' and body like '# %' then substr(body, 3) end ignore nulls) over (partition by source, part order by idx) as heading from cl)
+    select source || '-' || part as notebook, idx::int as idx, kind, heading, length(body) as n_chars from hd where trim(body) <> ''"""
+)
+def notebook_cells(spark: SparkSession, d: str) -> DataFrame:
+    """One chunk for each cell of notebooks, with the heading carried on; documents are bound into notebooks of their source."""
+    docs = table(spark, d, "documents").where("text is not null and source is not null")
+    five, seven = F.col("doc_id") % 5 == 0, F.col("doc_id") % 7 == 0
+    body = F.when(five, F.concat(F.lit("# "), F.coalesce("lang", F.lit("none")))).when(seven, F.lit("  ")).otherwise(F.split_part("text", F.lit("\n"), F.lit(1)))
+    cell = F.struct("doc_id", F.when(five, "markdown").otherwise("code").alias("cell_type"), F.array(body).alias("source"))
+    part = F.floor(F.col("doc_id") / 50)
+    books = docs.groupBy(F.concat(F.col("source"), F.lit("-"), part.cast("string")).alias("notebook")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(cell)).alias("cells"))).alias("body"))
+    return S.notebook_chunks(books, "notebook", "body").select("notebook", "idx", "kind", "heading", F.length("body").alias("n_chars"))

@@ -78,6 +78,30 @@ def strike_from(title: Column) -> tuple[Column, Column]:
     return F.when(arrow == "↑", "up").when(arrow == "↓", "down"), F.nullif(F.replace(level, F.lit(","), F.lit("")), F.lit("")).cast("double")
 
 
+# Month names as venues write them in tickers.
+MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
+
+
+def meeting_key(ticker: Column, end: Column, prefix: str = "fomc") -> Column:
+    """The same key for a meeting at every venue, prefix-YYYY-MM: from the year and month of a ticker, else from the end."""
+    year, month = F.regexp_extract(ticker, r"-(\d{2})([A-Z]{3})", 1), F.regexp_extract(ticker, r"-(\d{2})([A-Z]{3})", 2)
+    at = F.array_position(F.array(*map(F.lit, MONTHS)), month)
+    told = F.when(at > 0, F.concat(F.lit(f"{prefix}-20"), year, F.lit("-"), F.lpad(at.cast("string"), 2, "0")))
+    return F.coalesce(told, F.concat(F.lit(f"{prefix}-"), F.date_format(F.to_utc_timestamp(end, F.current_timezone()), "yyyy-MM")))
+
+
+def bucket_bps(label: Column) -> Column:
+    """Basis points of a bucket's label: 0 for no change, negative for a decrease; null for labels of another kind."""
+    size = F.regexp_extract(label, r"(?i)^(\d+)\+?\s*bps\s+(in|de)crease$", 1)
+    down = F.lower(F.regexp_extract(label, r"(?i)^(\d+)\+?\s*bps\s+(in|de)crease$", 2)) == "de"
+    return F.when(F.lower(F.trim(label)) == "no change", F.lit(0)).when(size != "", F.when(down, -size.try_cast("int")).otherwise(size.try_cast("int")))
+
+
+def settled(closed: Column, price: Column) -> Column:
+    """Outcome that a closed contract's price tells: yes above 0.99, no below 0.01, else unknown."""
+    return F.when(closed & (price > 0.99), F.lit(True)).when(closed & (price < 0.01), F.lit(False))
+
+
 def dollars(text: Column) -> Column:
     """A dollar text as a number, null where it is empty."""
     return F.nullif(F.trim(text), F.lit("")).cast("double")
